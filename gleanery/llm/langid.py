@@ -72,8 +72,9 @@ def _tally(col: pa.Array, longest: int, by_text: bool) -> tuple[np.ndarray, np.n
         ok = byte[0] != 32 if size == 1 else np.ones(len(key), bool)
         for inner in byte[1:-1]:
             ok &= inner != 32
-        if size > 1:
-            ok &= byte[0] != 0
+        if size == 2:
+            # a text that ends in no letter has two spaces at its end
+            ok &= key & np.uint64(0xFFFF) != 0x2020
         text = (key >> np.uint64(8 * size)).astype(np.int64)
         found.append((text[ok], key[ok] & np.uint64((1 << (8 * size)) - 1), times[ok]))
     return tuple(np.concatenate(x) for x in zip(*found))
