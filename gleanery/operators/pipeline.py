@@ -43,7 +43,7 @@ def absolute_urls(df: DataFrame, image_prefix: str | None = None) -> DataFrame:
         if n in _URLS and t == "string":
             changes[n] = whole(F.col(f"`{n}`"), n)
         elif n in _URLS and t == "array<string>":
-            changes[n] = F.transform(F.col(f"`{n}`"), lambda v, n=n: whole(v, n))
+            changes[n] = F.transform(F.col(f"`{n}`"), lambda v: whole(v, n))  # noqa: B023 - called at once
     return _change(df, changes)
 
 
