@@ -1,9 +1,10 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 Two 64-bit SimHashes are made of every text: one of its words, each weighted by how far its length
-exceeds three characters (short words are the common ones), and one of its word pairs. Two documents
+exceeds two characters (short words are the common ones), and one of its word pairs. Two documents
 are near-duplicates when the first differ in at most ``radius`` bits and the second in at most
-``confirm`` bits.
+``confirm`` bits. Pairs whose first signatures differ in more, up to ``REACH`` bits, count as well where
+they happen to share a table; in most cases they do.
 
 Candidates come from covering LSH: bit *i* gets a vector m(i) of ``radius + 1`` bits, and table *v*
 (every non-zero vector of as many bits) keeps exactly the bits with odd <m(i), v>. The at most
@@ -26,7 +27,8 @@ from gleanery.llm.common import arrow_schema, components, flat, free_name, mix64
 from gleanery.scratch import drop_shared, write_shared
 
 RADIUS = 6
-CONFIRM = 20
+REACH = 8
+CONFIRM = 18
 MIN_WORDS = 8
 CAP = 4
 
@@ -109,7 +111,7 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for start, size in slices(col):
         h, length, doc = words(col.slice(start, size))
         num = np.bincount(doc, minlength=size)
-        weight = np.clip(length - 3, 0, CAP)
+        weight = np.clip(length - 2, 0, CAP)
         # a document of short words only is described by all of them
         rich = np.bincount(doc, weights=weight, minlength=size) > 0
         weight = np.where(rich[doc], weight, 1)
@@ -142,7 +144,7 @@ def node_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def _near(a1, a2, b1, b2, short, radius: int, confirm: int) -> np.ndarray:
     d1 = np.bitwise_count(a1 ^ b1)
     d2 = np.bitwise_count(a2 ^ b2)
-    return np.where(short, (d1 == 0) & (d2 == 0), (d1 <= radius) & (d2 <= confirm))
+    return np.where(short, (d1 == 0) & (d2 == 0), (d1 <= max(radius, REACH)) & (d2 <= confirm))
 
 
 def _forest(h1, h2, few, radius, confirm) -> list[tuple[np.ndarray, np.ndarray]]:
