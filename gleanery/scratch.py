@@ -44,6 +44,15 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def arrow_schema(ddl: str):
+    """The Spark schema of ``ddl`` and its Arrow twin for ``mapInArrow`` output."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark_schema = T._parse_datatype_string(ddl)
+    return spark_schema, to_arrow_schema(spark_schema)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, root in _ROOTS.values():
@@ -53,4 +62,4 @@ def _clean() -> None:
             pass
 
 
-__all__ = ["drop_shared", "shared_dir", "write_shared"]
+__all__ = ["arrow_schema", "drop_shared", "shared_dir", "write_shared"]
