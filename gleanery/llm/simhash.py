@@ -298,8 +298,9 @@ def deduplicate(
     marks, _ = write_shared(marks, "simhash-marks")
     drop_shared(docs.sparkSession, path)
     keyed = docs.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    stay = keyed.join(marks.where("NOT first OR times > 1").select(name), name, "left_anti")
+    # merged by key whatever the number of marks: a plan that broadcasts a small table changes with its size
+    stay = keyed.join(marks.where("NOT first OR times > 1").select(name).hint("merge"), name, "left_anti")
     if marks.where("first AND times > 1").isEmpty():
         return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = keyed.join(marks.where("first AND times > 1").select(name), name, "left_semi").dropDuplicates([name])
+    again = keyed.join(marks.where("first AND times > 1").select(name).hint("merge"), name, "left_semi").dropDuplicates([name])
     return stay.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
