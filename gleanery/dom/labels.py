@@ -8,7 +8,7 @@ from gleanery.dom.tree import Node
 
 _SKIPPED = frozenset("head link meta noscript script style svg".split())
 LABEL_MOST, VALUE_MOST = 40, 300
-_COLON = re.compile(r"(.{2,40}?):\s*(\S.*)")
+_COLON = re.compile(r"(?P<label>.{2,40}?):\s*(?P<value>\S.*)")
 
 
 def normal(label: str) -> str:

@@ -31,7 +31,7 @@ _RICH_IMAGES = """
 asset batch batches big carro file foto full galeria gallery image imagem img imovel large max media original photo pic
 picture product produto thumb upload veiculo
 """.split()
-_SLUG = r"(?i)/[a-z0-9]+(-[a-z0-9]+){2,}/?$"
+_SLUG = r"(?i)/[0-9a-z]+(?:-[0-9a-z]+){2,}/?$"
 _NUMBER = r"/\d{3,}/?$"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
@@ -57,8 +57,8 @@ _LOADING = "animate-spin|data-loading|lucide-loader|skeleton-|spinner"
 _ENDPOINTS = (
     r"""(?i)["'](/(?:api|graphql|public|rest|v\d)/[\w\-/]*(?:data|finder|items?|list|results?|search)[\w\-/]*)["']""",
     r"""(?i)["'](https?://[^"']+/(?:api|public|rest)/[^"']*(?:finder|items?|list|results?|search)[^"']*)["']""",
-    r"""(?i)(?:axios\.(?:get|post)|fetch|url)\s*[\(:]\s*["'](https?://[^"']+|/[^"']+)["']""",
-    r"""(?i)["'](/?(?:[\w\-/]*\.aspx/[A-Za-z]\w+|(?:ApiEngine|ApiFeatures)/[A-Za-z][\w\-/]*|ajax/[\w\-/]+))["']""",
+    r"""(?i)(?:axios\.(?:get|post)|fetch|url)\s*[:(]\s*["'](https?://[^"']+|/[^"']+)["']""",
+    r"""(?i)["'](/?(?:ajax/[\w\-/]+|Api(?:Engine|Features)/(?=[A-Za-z])[\w\-/]+|[\w\-/]*\.aspx/(?=[A-Za-z])\w{2,}))["']""",
 )
 _ASSET = r"(?i)\.(?:css|gif|ico|jpe?g|js|map|png|svg|webp|woff2?)(?:\?|$)"
 

@@ -89,7 +89,7 @@ def shorten(c: Column, most: int) -> Column:
 
 def visible_length(html: Column) -> Column:
     """Bytes of text outside scripts, styles, templates and tags, whitespace squashed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ")
+    bare = F.regexp_replace(html, r"(?is)<(noscript|script|style|template)(?=[\s/>])[^>]*>.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
     return F.octet_length(squash(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 _SPACE = " \t\n\r\0\x0b"
 _ABSOLUTE = r"(?i)^https?://"
-_SCHEME = r"(?i)^[a-z][a-z0-9+.-]*://"
+_SCHEME = r"(?i)^[a-z][-+.0-9a-z]*://"
 _BASE = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)"
 _BASE_PY = re.compile(_BASE)
 

@@ -26,7 +26,7 @@ _PLAIN = frozenset(
     justify-center justify-start overflow-hidden relative static sticky w-auto w-full""".split()
 )
 _TELLING = ("card", "item", "listing", "offer", "product", "result", "spot-")
-_CLEAN = re.compile(r"[A-Za-z_-][A-Za-z0-9_-]*\Z")
+_CLEAN = re.compile(r"(?!\d)[\w-]+\Z", re.ASCII)
 _CHROME_TAGS = ("aside", "footer", "header", "nav")
 _CHROME_ROLES = ("banner", "complementary", "contentinfo", "navigation")
 #: earlier ones win
@@ -35,9 +35,9 @@ _LISTS = "ul.pagination|.pagination|.paginacao|.paginator|.paging|nav .page-numb
 _NEXT = "a[rel=next]|a.next|li.next a|.next > a|.pager .next a|.pagination .next a".split("|")
 _MORE = "#btn_carregarMais|[id*=carregarMais]|[id*=carregar-mais]|button.load-more|a.load-more|.load-more|[data-load-more]|button[id*=loadMore]".split("|")
 _LAZY = "data-src data-original data-lazy-src".split()
-_PRICE = r"/(?:[RU]?S?\$|€|£)\s*[\d.,]+/"
+_PRICE = r"/(?:£|€|[RU]?S?\$)\s*[,.\d]+/"
 _BACKGROUND = r"""#background-image\s*:\s*url\(["']?([^"')]+)["']?\)#i"""
-_STARS = re.compile(r"\b\d+(?:\.\d+)?\s*(?:/\s*5|/\s*10|out\s+of\s+\d|stars?)\b", re.I)
+_STARS = re.compile(r"\b\d+(?:\.\d+)?\s*(?:stars?|out\s+of\s+[0-9]|/\s*(?:10|5))\b", re.I)
 _RATED = "data-average data-rate data-rating data-score data-stars".split()
 CORE = ("image", "link", "title")
 
@@ -270,7 +270,7 @@ def item_selector(container: Node, group: list[Node]) -> str:
         prefix = os.path.commonprefix(ids)
         cut = re.match(r"(.*?[-_])", prefix)
         prefix = cut[1] if cut else prefix
-        if re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*[-_]", prefix):
+        if re.fullmatch(r"(?=[A-Za-z])[\w-]+[_-]", prefix, re.ASCII):
             return f'{first.tag}[id^="{prefix}"]'
     return f"{stable_css(container)} > {first.tag}"
 
@@ -481,10 +481,10 @@ def hosted_shop(url: str) -> Blueprint:
 #: field hints by kind of site, looked up in the active preset, then the generic one
 PRESETS: dict[str, dict[str, Any]] = {
     "generic": {"core": CORE, "least": 2, "rate": 0.6, "unique": 0.65, "price": (_PRICE,), "ratings": ("rating", "review-score", "score", "star"), "schema": {}},
-    "ecommerce": {"price": (_PRICE, r"/[\d.,]+\s*(?:USD|CAD|AUD|EUR|GBP)/i"), "schema": {"price": "float", "rating": "float"}},
+    "ecommerce": {"price": (_PRICE, r"/[,.\d]+\s*(?:AUD|CAD|EUR|GBP|USD)/i"), "schema": dict.fromkeys(("price", "rating"), "float")},
     "auctions": {"core": ("image", "link", "title"), "schema": {"price": "float"}},
-    "properties": {"core": ("link", "price", "title"), "schema": {"price": "float", "area": "float"}},
-    "auctions_pt_BR": {"price": (r"/R\$\s*[\d.,]+/",), "schema": {"price": "float"}},
+    "properties": {"core": ("link", "price", "title"), "schema": dict.fromkeys(("area", "price"), "float")},
+    "auctions_pt_BR": {"price": (r"/R\$\s*[,.\d]+/",), "schema": {"price": "float"}},
 }
 
 
