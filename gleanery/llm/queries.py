@@ -28,7 +28,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(_table(spark, sf_dir, "documents"))
+    """Documents that have near copies, each with the least id of its group and whether it is the one that stays."""
+    return simhash.groups(_table(spark, sf_dir, "documents")).where("group_size > 1").select("doc_id", "group_id", "kept")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
