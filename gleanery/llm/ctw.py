@@ -29,8 +29,10 @@ from gleanery.llm.common import arrow_schema, flat, runs, slices
 from gleanery.scratch import drop_shared, write_shared
 
 DEPTH = 4
-#: grams priced in one pass over the documents, 16 bytes each in a worker; more grams take more passes
-PASS_GRAMS = 2_000_000
+#: price tables up to so many grams are broadcast, 16 bytes each; longer ones are joined to blocks of documents
+BROADCAST_GRAMS = 2_000_000
+#: bytes of text in such a block
+BLOCK_BYTES = 32 << 20
 #: gram occurrences held by a worker before they are merged
 BUFFER = 1 << 21
 _LOG_HALF = float(np.log(0.5))
@@ -268,62 +270,85 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: in
     A null or empty text has 0 bytes, 0 bits and a null ``bits_per_byte``. Null ids, repeated rows and
     ids are kept as they are: one result row per input row. Texts of any length are read whole. When
     one fold has no text its counts are all 0 and the other fold's bytes cost 8 bits. Other columns are
-    ignored. The price table is split into hash shards of about ``PASS_GRAMS`` grams; each shard is one
-    pass over the documents and the passes are summed, so a worker's memory is bounded.
+    ignored.
+
+    A price table of at most ``BROADCAST_GRAMS`` grams goes to every worker. With a longer one the documents are
+    shuffled once into blocks of about ``BLOCK_BYTES``, and each block gets the prices of its own distinct grams.
+    Both ways give the same result.
     """
     spark = docs.sparkSession
     grams, gram_path = write_shared(gram_counts(docs, text, depth), "ctw-grams")
-    table, price_path = write_shared(prices(grams, depth), "ctw-prices")
+    table, _ = write_shared(prices(grams, depth), "ctw-prices")
+    size = grams.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.col("n0") + F.col("n1")).alias("bytes")).first()
     drop_shared(spark, gram_path)
-    passes = max(1, -(-table.count() // PASS_GRAMS))
-    base = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t")
-    ).select("doc_id", "h", F.when(F.col("t").isNotNull(), _fold("t")).otherwise(0).alias("fold"), "t")
+    t = F.col(f"`{text}`")
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("t"))
+    base = base.select("doc_id", F.when(F.col("t").isNotNull(), _fold("t")).otherwise(0).alias("fold"), "t")
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema, out = arrow_schema(f"doc_id {id_type}, h bigint, n_bytes bigint, bits double")
-    parts = []
-    for i in range(passes):
-        shard = table.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i).toArrow().sort_by("gram")
-        parts.append(base.mapInArrow(_scorer(spark, shard, depth, out, i == 0), schema))
-    if passes == 1:
-        total = parts[0]
+    schema, out = arrow_schema(f"doc_id {id_type}, n_bytes bigint, bits double")
+
+    def scored(ids: pa.Array, fold: pa.Array, texts: pa.Array, keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        lengths = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        cost = _cost(texts, fold.to_numpy(zero_copy_only=False).astype(np.int64), keys, bits, depth)
+        return pa.RecordBatch.from_arrays([ids, lengths, pa.array(cost)], schema=out)
+
+    if size["grams"] <= BROADCAST_GRAMS:
+        model = spark.sparkContext.broadcast(_arrays(table.toArrow()))
+
+        def run(batches):
+            for batch in batches:
+                yield scored(*batch.columns, *model.value)
+
+        total = base.mapInArrow(run, schema)
     else:
-        total = parts[0]
-        for p in parts[1:]:
-            total = total.unionByName(p)
-        # rows equal in id and text have equal sums: add them up together and share out
-        total = total.groupBy("doc_id", "h").agg(
-            F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"), (F.count(F.lit(1)) / passes).cast("int").alias("times")
-        )
-        total = total.select("doc_id", "h", (F.col("n_bytes") / F.col("times")).cast("bigint").alias("n_bytes"), (F.col("bits") / F.col("times")).alias("bits"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+        total = _by_blocks(base, table, -(-size["bytes"] // BLOCK_BYTES), depth, scored, schema, out)
     return total.select(
         "doc_id", "n_bytes", F.round("bits", 3).alias("bits"), F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 6)).alias("bits_per_byte")
     )
 
 
-def _scorer(spark, shard: pa.Table, depth: int, out: pa.Schema, first: bool):
-    keys = shard.column("gram").to_numpy().astype(np.uint64)
-    bits = np.stack([shard.column("bits0").to_numpy(), shard.column("bits1").to_numpy()])
-    model = spark.sparkContext.broadcast((keys, bits))
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(grams ascending, bits of either fold) of a price table."""
+    table = table.sort_by("gram")
+    return table.column("gram").to_numpy().astype(np.uint64), np.stack([table.column(c).to_numpy() for c in ("bits0", "bits1")])
 
-    def run(batches):
-        keys, bits = model.value
-        low = np.uint64((1 << 24) - 1)
-        for batch in batches:
-            text, total = batch.column(3), np.zeros(batch.num_rows)
-            fold = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, count, grams, doc in _pieces(text, depth):
-                if not len(grams):
-                    continue
-                both = np.sort(grams << np.uint64(24) | doc)
-                begin = runs(both)
-                times = np.diff(np.append(begin, len(both)))
-                gram, at = both[begin] >> np.uint64(24), (both[begin] & low).astype(np.int64)
-                where = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
-                known = keys[where] == gram if len(keys) else np.zeros(len(gram), bool)
-                cost = np.where(known, bits[fold[start + at], where], 0.0) if len(keys) else np.zeros(len(gram))
-                total[start : start + count] += np.bincount(at, weights=cost * times, minlength=count)
-            size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()) if first else pa.array(np.zeros(batch.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(total)], schema=out)
-
-    return run
+
+def _cost(texts: pa.Array, fold: np.ndarray, keys: np.ndarray, bits: np.ndarray, depth: int) -> np.ndarray:
+    """Bits of every text, by the prices of its fold."""
+    total, low = np.zeros(len(texts)), np.uint64((1 << 24) - 1)
+    for start, count, grams, doc in _pieces(texts, depth):
+        if not len(grams) or not len(keys):
+            continue
+        both = np.sort(grams << np.uint64(24) | doc)
+        begin = runs(both)
+        times = np.diff(np.append(begin, len(both)))
+        gram, at = both[begin] >> np.uint64(24), (both[begin] & low).astype(np.int64)
+        where = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        price = np.where(keys[where] == gram, bits[fold[start + at], where], 0.0)
+        total[start : start + count] += np.bincount(at, weights=price * times, minlength=count)
+    return total
+
+
+def _by_blocks(base: DataFrame, table: DataFrame, blocks: int, depth: int, scored, schema, out: pa.Schema) -> DataFrame:
+    """The documents in hashed blocks, beside the prices of each block's distinct grams."""
+    blocked = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)))
+    need_schema, need_out = arrow_schema("block bigint, gram bigint")
+
+    def whole(column: pa.ChunkedArray) -> pa.Array:
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+    def distinct(part: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.uint64)
+        for _, _, grams, _ in _pieces(whole(part.column("t")), depth):
+            found = np.union1d(found, grams)
+        key = part.column("block")[0].as_py()
+        return pa.Table.from_arrays([pa.array(np.full(len(found), key)), pa.array(found.astype(np.int64))], schema=need_out)
+
+    need = blocked.groupBy("block").applyInArrow(distinct, need_schema).join(table, "gram")
+
+    def score(part: pa.Table, priced: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return pa.Table.from_batches([], schema=out)
+        return pa.Table.from_batches([scored(*(whole(part.column(c)) for c in ("doc_id", "fold", "t")), *_arrays(priced))])
+
+    return blocked.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(score, schema)

@@ -167,7 +167,7 @@ def test_ctw_against_sequential(spark, depth):
         assert r["bits"] == pytest.approx(want, abs=0.01) and r["n_bytes"] == len(text)
 
 
-def test_ctw_odd_and_passes(spark, monkeypatch):
+def test_ctw_odd_and_blocks(spark, monkeypatch):
     rng = random.Random(1)
     df = docs(spark, ODD + [(i, prose(rng, 50), "en", "a") for i in range(10, 30)])
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["bits"])
@@ -175,7 +175,8 @@ def test_ctw_odd_and_passes(spark, monkeypatch):
     assert len(one) == len(ODD) + 20
     by = {r["doc_id"]: r for r in one}
     assert by[1]["n_bytes"] == by[2]["n_bytes"] == 0 and by[1]["bits_per_byte"] is None and by[6]["n_bytes"] == 1_500_000
-    monkeypatch.setattr(ctw, "PASS_GRAMS", 300)
+    monkeypatch.setattr(ctw, "BROADCAST_GRAMS", 10)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 200_000)
     many = sorted(ctw.score(df).collect(), key=key)
     assert [(r["doc_id"], r["n_bytes"]) for r in many] == [(r["doc_id"], r["n_bytes"]) for r in one]
     assert all(abs(a["bits"] - b["bits"]) < 0.01 for a, b in zip(one, many))
