@@ -220,17 +220,12 @@ def statistics(judged: DataFrame, pages: int = 0, failed: int = 0) -> DataFrame:
 def throttled(latencies: DataFrame, delay_ms: float, start_ms: float = 0.0, concurrency: float = 1.0, most_ms: float = 30000.0) -> DataFrame:
     """The delay after each response of ``latencies(host, at, latency_ms)``: the mean of the last delay and of the
     latency over the concurrency, held between ``delay_ms`` and ``most_ms``; folded in order for each host."""
-    goal = lambda ms: F.least(F.greatest(ms / F.lit(max(0.1, concurrency)), F.lit(float(delay_ms))), F.lit(float(most_ms)))
-    per = latencies.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", F.col("latency_ms").cast("double").alias("ms")))).alias("rs"))
-    first = F.struct(F.lit(float(start_ms)).alias("d"), F.array().cast("array<double>").alias("ds"))
-
-    def step(acc, r):
-        d = (acc["d"] + goal(r["ms"])) / 2
-        return F.struct(d.alias("d"), F.concat(acc["ds"], F.array(d)).alias("ds"))
-
-    delays = F.aggregate("rs", first, step)["ds"]
-    rows = per.select("host", F.explode(F.arrays_zip(F.col("rs.at").alias("at"), delays.alias("delay_ms"))).alias("r"))
-    return rows.select("host", F.col("r.at").alias("at"), F.col("r.delay_ms").alias("delay_ms"))
+    goal = F.least(F.greatest(F.col("latency_ms").cast("double") / max(0.1, concurrency), F.lit(float(delay_ms))), F.lit(float(most_ms)))
+    # each step halves what came before: 64 steps back nothing is left of it in a double
+    row = Window.partitionBy("host").orderBy("at")
+    recent = F.collect_list(goal).over(row.rowsBetween(-63, 0))
+    folded = F.aggregate("goals", F.when(F.size("goals") < 64, float(start_ms)).otherwise(0.0), lambda d, g: (d + g) / 2)
+    return latencies.select("host", "at", recent.alias("goals")).select("host", "at", folded.alias("delay_ms"))
 
 
 def combine(frames: list[DataFrame]) -> DataFrame:

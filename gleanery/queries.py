@@ -353,7 +353,10 @@ def source_urls(spark, sf_dir):
     )
 
 
-@_query()
+@_query("""
+    SELECT s.range::BIGINT AS source_ord, p.range::BIGINT AS page_ord, 'https://a.example.com/x/' || chr((97 + s.range)::INTEGER) AS url,
+        '[(''limit'', 20), (''offset'', ' || p.range * 20 || '), (''size'', ''50'')]' AS query FROM range(2) s, range(3) p
+""")
 def request_plan(spark, sf_dir):
     """Requests of every source and page."""
     api = Api(endpoint="https://a.example.com/x?size=50", page_param="offset", page_size_param="limit", page_size=20)
@@ -435,7 +438,12 @@ def event_windows(spark, sf_dir):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@_query()
+@_query("""
+    SELECT event_type AS host, event_id AS at, round(list_reduce(list_prepend(0.0::DOUBLE, goals), lambda d, g: (d + g) / 2), 6) AS delay_ms FROM (
+        SELECT event_type, event_id, list(least(greatest(value, 20.0), 30000.0)::DOUBLE)
+            OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS goals FROM events
+    )
+""")
 def throttle(spark, sf_dir):
     """Delays after each response of a host, folded in order."""
     e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("at"), F.col("value").alias("latency_ms"))

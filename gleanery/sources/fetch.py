@@ -23,6 +23,7 @@ from gleanery.dom.extract import items
 from gleanery.dom.tree import parse
 from gleanery.functions.heuristics import VENDORS
 from gleanery.plans.blueprint import Http
+from gleanery.scratch import arrow_schema
 from gleanery.sources.pages import refused
 
 #: from the plainest to the most costly
@@ -118,10 +119,8 @@ def fetch(
     df = requests.select(
         "url", (F.col("method") if "method" in have else F.lit("GET")).alias("method"),
         F.to_json("headers").alias("headers") if "headers" in have else F.lit("{}").alias("headers"),
-        (F.col("body") if "body" in have else F.lit(None).cast("string")).alias("body"), F.coalesce(refused(F.col("url"), block_private, allow)).alias("bad"),
+        (F.col("body") if "body" in have else F.lit(None).cast("string")).alias("body"), refused(F.col("url"), block_private, allow).alias("bad"),
     )
-    from gleanery.scratch import arrow_schema
-
     schema, out = arrow_schema("url string, status int, html string, error string, latency_ms double, fetched_at timestamp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

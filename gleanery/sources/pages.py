@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.dom.extract import links, next_link
 from gleanery.functions.urls import source_url
 from gleanery.plans.blueprint import Blueprint
-from gleanery.scratch import write_shared
+from gleanery.scratch import arrow_schema, write_shared
 
 
 def capped(df: DataFrame, most: int) -> DataFrame:
@@ -100,16 +101,26 @@ def cached(responses: DataFrame, ttl: int, now: str | None = None) -> DataFrame:
 
 
 def replayed(requests: DataFrame, ttl: int) -> DataFrame:
-    """Which of ``requests(url, at DOUBLE)`` a cache would answer: hits don't renew an entry, so each URL's requests are folded in order."""
-    per = requests.groupBy("url").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<at:double,hit:boolean>>").alias("seen"))
+    """``(url, at, hit)``: which of ``requests(url, at DOUBLE)`` a cache would answer.
 
-    def fold(acc, at):
-        hit = acc["since"].isNotNull() & ((F.lit(ttl) == 0) | (at - acc["since"] < ttl))
-        return F.struct(F.when(hit, acc["since"]).otherwise(at).alias("since"), F.concat(acc["seen"], F.array(F.struct(at.alias("at"), hit.alias("hit")))).alias("seen"))
-
-    folded = per.select("url", F.explode(F.aggregate(F.col("ats").cast("array<double>"), start, fold)["seen"]).alias("r"))
-    return folded.select("url", F.col("r.at").alias("at"), F.col("r.hit").alias("hit"))
+    A hit doesn't renew its entry, so each URL's requests are gone through in order, once.
+    """
+    schema, out = arrow_schema("url string, at double, hit boolean")
+
+    def run(batches):
+        current, since = None, None
+        for batch in batches:
+            hits = []
+            for url, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if url != current:
+                    current, since = url, None
+                hit = since is not None and (ttl == 0 or at - since < ttl)
+                since = since if hit else at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], schema=out)
+
+    df = requests.where("url IS NOT NULL AND at IS NOT NULL").select("url", F.col("at").cast("double").alias("at"))
+    return df.repartition("url").sortWithinPartitions("url", "at").mapInArrow(run, schema)
 
 
 def refused(url, block_private: bool = False, allow: tuple[str, ...] = ()):
