@@ -213,6 +213,12 @@ def confirm(data: bytes, start: int, end: int, low: int, high: int) -> list[tupl
     return sorted(found)
 
 
+def _within(hit: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each run are hits."""
+    at = np.flatnonzero(hit)
+    return np.searchsorted(at, ends) - np.searchsorted(at, begins)
+
+
 def scan(col: pa.Array) -> list[tuple[int, int, int, str]]:
     """(text, start byte, end byte, kind) of every secret of a string array, in order."""
     found = []
@@ -234,8 +240,7 @@ def scan(col: pa.Array) -> list[tuple[int, int, int, str]]:
             begins, ends = np.sort(np.append(begins, cut)), np.sort(np.append(ends, cut))
         long = ends - begins >= LEAST
         begins, ends = begins[long], ends[long]
-        tally = [np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT, _UPPER, _LOWER)]
-        digits, upper, lower = (c[ends] - c[begins] for c in tally)
+        digits, upper, lower = (_within(t[data], begins, ends) for t in (_DIGIT, _UPPER, _LOWER))
         likely = (digits > 0) | ((upper > 1) & (lower > 0)) | (upper >= 20)
         begins, ends = begins[likely], ends[likely]
         if not len(begins):

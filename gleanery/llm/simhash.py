@@ -77,6 +77,23 @@ def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, chars[stop] - chars[start], np.searchsorted(offsets, start, "right") - 1
 
 
+def _words_in_cuts(one: pa.Array, size: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of a single text, a long one in cuts of about ``size`` bytes between words."""
+    data, _ = flat(one)
+    if len(data) <= size:
+        return words(one)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data)
+    gaps = np.flatnonzero(~_WORD[lower])
+    at, found = 0, []
+    while at < len(data):
+        cut = np.searchsorted(gaps, at + size)
+        stop = int(gaps[cut]) if cut < len(gaps) else len(data)
+        found.append(words(pa.array([data[at:stop].tobytes().decode()]))[:2])
+        at = stop
+    h, length = (np.concatenate(x) for x in zip(*found))
+    return h, length, np.zeros(len(h), np.int64)
+
+
 def simhash(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Bitwise weighted majority of the hashes of each document; ``doc`` ascends. Ties give 0 bits."""
     out = np.zeros(docs, np.uint64)
@@ -109,7 +126,7 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(col)
     h1, h2, count = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for start, size in slices(col):
-        h, length, doc = words(col.slice(start, size))
+        h, length, doc = words(col.slice(start, size)) if size > 1 else _words_in_cuts(col.slice(start, 1))
         num = np.bincount(doc, minlength=size)
         weight = np.clip(length - 2, 0, CAP)
         # a document of short words only is described by all of them

@@ -321,6 +321,13 @@ def test_pieces_dont_change_signatures():
         assert list(whole[k]) == [p[k][0] for p in parts]
 
 
+def test_cuts_dont_change_words():
+    text = " ".join(near_copies(random.Random(2), 12)) + " ÜNÏ Straße, 漢字 X"
+    whole = simhash.words(pa.array([text]))
+    parts = simhash._words_in_cuts(pa.array([text]), 500)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
 # 6: language
 
 
