@@ -478,6 +478,112 @@ def hosted_shop(url: str) -> Blueprint:
     )
 
 
+class ScriptRendered(RuntimeError):
+    """A page whose content needs scripts: ``endpoints`` are addresses in it that may hold its data."""
+
+    def __init__(self, url: str, endpoints: list[str]):
+        hint = f"; its data may be at {', '.join(endpoints)}" if endpoints else ""
+        super().__init__(f"{url} is rendered by scripts: fetch it with a browser{hint}")
+        self.url, self.endpoints = url, endpoints
+
+
+#: records or items from which a list is trusted
+TRUSTED = 8
+
+
+def real_list(root: Node, selector: str, html: str) -> bool:
+    """Whether a repeated structure is content, not navigation: any item has a picture, or the page has few scripts."""
+    nodes = css.select(root, selector)
+    if not nodes or any(css.select(n, "img, picture, [role=img], [style*=background-image]") for n in nodes):
+        return True
+    return html.lower().count("<script") < 3
+
+
+def needs_scripts(root: Node, html: str) -> bool:
+    """The row-wise twin of ``heuristics.is_script_rendered``."""
+    from gleanery.functions import heuristics as h
+
+    low = html.lower()
+    shown = len(" ".join(t for n in [root] for t in _shown(n)).encode())
+    marks = "|".join((h._APP_SHELL, h._FRAMEWORK, h._LOADING)).split("|")
+    return shown < 300 or low.count("<script") >= 3 and shown < 800 or any(m in low for m in marks)
+
+
+def _shown(n: Node) -> list[str]:
+    if n.tag in ("head", "noscript", "script", "style", "template"):
+        return []
+    return [w for c in n.children for w in (c.split() if isinstance(c, str) else _shown(c))]
+
+
+def propose(url: str, html: str, captured: list[dict] | None = None, rendered: str | None = None, single: bool = False) -> Blueprint:
+    """A blueprint for an address from what was fetched of it.
+
+    ``captured`` are responses ``{url, method, body}`` that a browser saw, ``rendered`` the page it made. The order: a
+    hosted shop's fixed API; a real list in the page; the richest captured API if it holds at least ``TRUSTED``
+    records and the rendered list isn't stable or is under half as long; the rendered list; the API after all. A
+    blocked page raises ``BotBlocked``, one that needs scripts without any of these ``ScriptRendered``; any other is one
+    item as a whole.
+    """
+    from gleanery.functions import heuristics as h
+    from gleanery.sources.fetch import BotBlocked, vendor_of
+
+    root = parse(html)
+    if len(root.content().strip().encode()) <= 2000:
+        vendor = vendor_of(html) or (h.FIREWALL if any(m in html.lower() for m in h._REFUSALS.split("|")) else None)
+        if vendor:
+            raise BotBlocked(vendor, None, url)
+    if single:
+        return from_page(url, html, single=True)
+    if any(m in html.lower() for m in h._SHOP_MARKS.split("|")):
+        return hosted_shop(url)
+
+    def listed(page: Node, text: str) -> str | None:
+        found = find_list(page)
+        return found[0] if found and real_list(page, found[0], text) else None
+
+    own = listed(root, html)
+    if own and (len(css.select(root, own)) >= TRUSTED or not needs_scripts(root, html) or not (captured or rendered)):
+        return from_page(url, html)
+    page = parse(rendered) if rendered else None
+    later = listed(page, rendered) if page is not None else None
+    count = len(css.select(page, later)) if later else 0
+    best: tuple | None = None
+    for r in captured or []:
+        bp = from_response(r["url"], r["body"]) if r["method"].upper() == "GET" and r["body"] and len(r["body"]) <= 800_000 else None
+        if bp is not None:
+            import json
+
+            found = record_list(json.loads(r["body"]))
+            mine = (len(found["sample"]), found["count"])
+            if best is None or mine > best[0]:
+                best = (mine, bp, found["count"])
+    stable = later is not None and not re.search(r"\.(?:css|emotion|jss|jsx|sc|svelte)-[A-Za-z0-9]{4,}|\._[A-Za-z0-9]{5,}", later)
+    if best and best[2] >= TRUSTED and (not stable or best[2] >= 2 * count):
+        return best[1]
+    if later:
+        bp = from_page(url, rendered)
+        from dataclasses import replace
+
+        return bp.but(http=replace(bp.http, render_js=True, transport="browser"))
+    if own:
+        return from_page(url, html)
+    if best:
+        return best[1]
+    if needs_scripts(root, html):
+        raise ScriptRendered(url, endpoints_of(url, html))
+    return from_page(url, html, single=True)
+
+
+def endpoints_of(url: str, html: str) -> list[str]:
+    """The row-wise twin of ``heuristics.endpoints``."""
+    from gleanery.functions import heuristics as h
+    from gleanery.functions.urls import absolute_py, fetchable_py, host_py
+
+    base = f"{url.split(':')[0]}://{host_py(url)}/"
+    whole = [absolute_py(base, u) for p in h._ENDPOINTS for u in re.findall(p, html)]
+    return list(dict.fromkeys(u for u in whole if u and fetchable_py(u) and not re.search(h._ASSET, u)))
+
+
 #: field hints by kind of site, looked up in the active preset, then the generic one
 PRESETS: dict[str, dict[str, Any]] = {
     "generic": {"core": CORE, "least": 2, "rate": 0.6, "unique": 0.65, "price": (_PRICE,), "ratings": ("rating", "review-score", "score", "star"), "schema": {}},

@@ -97,3 +97,34 @@ def test_no_record_list():
 def test_spread():
     assert infer.spread(3, 5) == [0, 1, 2]
     assert infer.spread(10, 5) == [0, 2, 5, 7, 9]
+
+
+def test_propose():
+    from gleanery.sources.fetch import BotBlocked
+
+    url = "https://h.com/list"
+    assert infer.propose(url, cards()).item_selector == "div.card"
+    assert infer.propose(url, cards(), single=True).item_selector == "body"
+    with pytest.raises(BotBlocked) as e:
+        infer.propose(url, "<title>Just a moment...</title>")
+    assert e.value.vendor == "Cloudflare"
+    assert infer.propose(url, "<p>x</p><link href='//a.vtexassets.com/x.css'>").api.endpoint.startswith("https://h.com/api/catalog_system")
+    shell = "<div id='root'></div><script src='a.js'></script><script>fetch('/api/items/list')</script>"
+    shell = shell.replace("'root'", '"root"')
+    with pytest.raises(infer.ScriptRendered) as e:
+        infer.propose(url, shell)
+    assert e.value.endpoints == ["https://h.com/api/items/list"]
+    body = '{"items": [' + ", ".join('{"id": %d, "name": "n", "url": "/%d"}' % (i, i) for i in range(8)) + "]}"
+    seen = [{"url": "https://h.com/api/items/list", "method": "get", "body": body}, {"url": "https://h.com/x", "method": "POST", "body": body}]
+    api = infer.propose(url, shell, seen)
+    assert (api.mode, api.api.endpoint, api.api.items_path, api.dedup_key) == ("api", "https://h.com/api/items/list", "items", "id")
+    assert infer.propose(url, shell, rendered=cards()).http.render_js
+    assert infer.propose(url, shell, seen, cards(6)).mode == "html" and infer.propose(url, shell, seen, cards(4)).mode == "api"
+    text = "<main><h1>Head</h1><p>" + "word " * 100 + "</p></main>"
+    assert infer.propose(url, text).item_selector == "body"
+
+
+def test_real_list():
+    links = "".join(f"<li class=m><a href='/{i}'>{i}</a>" for i in range(5))
+    few, many = f"<ul>{links}</ul>", f"<ul>{links}</ul>" + "<script></script>" * 3
+    assert infer.real_list(parse(few), "li.m", few) and not infer.real_list(parse(many), "li.m", many)
