@@ -36,15 +36,15 @@ _SLICE = 1024
 
 
 def _described(laid: DataFrame, kind: str, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """``(id, uid, dim, v BINARY, near ARRAY<INT>)``: every vector with its nearest pivots, nearest first."""
+    """``(id, dim, v BINARY, near ARRAY<INT>)``: every vector with its nearest pivots, nearest first."""
     shared = laid.sparkSession.sparkContext.broadcast(pivots)
-    schema, out = arrow_schema("id bigint, uid bigint, dim int, v binary, near array<int>")
+    schema, out = arrow_schema("id bigint, dim int, v binary, near array<int>")
 
     def describe(batches):
         p = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                base, dim = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                dim = batch.column(1)[row].as_py()
                 ids = batch.column(2)[row].values.to_numpy()
                 raw = batch.column(3)[row].as_buffer()
                 mine = p.get(dim)
@@ -60,8 +60,7 @@ def _described(laid: DataFrame, kind: str, pivots: np.ndarray, prefix: int) -> D
                     n = len(top)
                     near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(top.ravel()))
                     v = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, part]).cast(pa.binary())
-                    uid = base * (1 << 20) + np.arange(at, at + n)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + n]), pa.array(uid), pa.array(np.full(n, dim, np.int32)), v, near], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + n]), pa.array(np.full(n, dim, np.int32)), v, near], schema=out)
 
     return laid.mapInArrow(describe, schema)
 
@@ -133,21 +132,21 @@ def near_pairs(
     ranks = {d: _inverse(order) for d, order in rarity.items()}
     known = spark.sparkContext.broadcast(ranks)
     kept = prefix - shared + 1
-    schema, out = arrow_schema("pivot int, dim int, id bigint, uid bigint, v binary, ranked array<int>")
+    schema, out = arrow_schema("pivot int, dim int, id bigint, v binary, ranked array<int>")
 
     def post(batches):
         for batch in batches:
-            dims = batch.column(2).to_numpy()
+            dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                near = part.column(4)
+                near = part.column(3)
                 width = len(near[0])
                 ranked = np.sort(known.value[dim][near.flatten().to_numpy().reshape(-1, width)], axis=1).astype(np.int32)
                 # fewer pivots than asked for: all are listed
                 lists = min(kept, width) if width == prefix else width
                 again = np.repeat(np.arange(len(ranked)), lists)
                 full = pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1, dtype=np.int32) * width), pa.array(ranked[again].ravel()))
-                cols = [pa.array(ranked[:, :lists].ravel()), *(part.column(i).take(pa.array(again)) for i in (2, 0, 1, 3)), full]
+                cols = [pa.array(ranked[:, :lists].ravel()), *(part.column(i).take(pa.array(again)) for i in (1, 0, 2)), full]
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     schema2, out2 = arrow_schema("id_a bigint, id_b bigint, similarity double")
@@ -155,7 +154,7 @@ def near_pairs(
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         pivot, dim = table.column("pivot")[0].as_py(), table.column("dim")[0].as_py()
-        ids, uid = table.column("id").to_numpy(), table.column("uid").to_numpy()
+        ids = table.column("id").to_numpy()
         n = len(ids)
         ranked = table.column("ranked").combine_chunks().flatten().to_numpy().reshape(n, -1)
         need = shared if ranked.shape[1] == prefix else 1
@@ -185,7 +184,6 @@ def near_pairs(
                 b.append(ids[q[good]])
                 s.append(value[good])
         a, b, s = (np.concatenate(z) if z else np.zeros(0) for z in (a, b, s))
-        del uid
         return pa.Table.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)), pa.array(s.astype(float))], schema=out2)
 
     found = rows.mapInArrow(post, schema).groupBy("dim", "pivot").applyInArrow(verify, schema2)

@@ -76,8 +76,10 @@ def blocks(vectors: DataFrame, id_col: str, vector: str, block: int = BLOCK) ->
 
 def _best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, score, id) of the k best of every row by (rounded score descending, id), without the row's own id."""
-    wide = min(k + 1, score.shape[1])
-    # the k+1 best, as the row's own vector may be one, and all that could round up to the last of them
+    if np.isin(own, ids).any():
+        score = np.where(own[:, None] == ids[None, :], -np.inf, score)
+    wide = min(k, score.shape[1])
+    # the k best, and all that could round up to the last of them
     edge = np.partition(score, score.shape[1] - wide, axis=1)[:, score.shape[1] - wide]
     row, col = np.nonzero(score >= (edge - 2 * 10.0**-PLACES)[:, None])
     value, other = np.round(score[row, col], PLACES) + 0.0, ids[col]

@@ -80,6 +80,13 @@ def test_topk_is_exact(spark, kind):
     assert sorted((r["query_id"], r["rank"], r["neighbor_id"], round(r["similarity"], 6)) for r in got) == sorted((a, b, c, round(d, 6)) for a, b, c, d in want)
 
 
+def test_topk_with_many_rows_of_one_id(spark):
+    rows = [(5, [1.0, 0.0], 0, 1, "")] * 6 + [(i, [1.0, i / 10], 0, 1, "") for i in range(6, 12)]
+    got = topk.search(vectors(spark, rows), k=3).collect()
+    assert [sorted((r["rank"], r["neighbor_id"]) for r in got if r["query_id"] == 5)] == [[(r, n) for r, n in ((1, 6), (2, 7), (3, 8)) for _ in range(6)]]
+    assert [r["neighbor_id"] for r in got if r["query_id"] == 11] == [10, 9, 8]
+
+
 def test_topk_odd(spark):
     rows = [*ODD_VECTORS, (1, [1.0, 0.0], 0, 1, ""), (2, [1.0, 1.0], 0, 1, ""), (3, [1.0, 0.0, 0.0], 0, 1, "")]
     assert sorted(tuple(r) for r in topk.search(vectors(spark, rows)).collect()) == [(1, 1, 2, 0.707107), (2, 1, 1, 0.707107)]
