@@ -1,16 +1,21 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing.
+"""SimHash near-duplicates by covering locality-sensitive hashing, and by bands of min-hashes.
 
 Two 64-bit SimHashes are made of every text: one of its words, each weighted by how far its length
 exceeds two characters (short words are the common ones), and one of its word pairs. Two documents
 are near-duplicates when the first differ in at most ``radius`` bits and the second in at most
 ``confirm`` bits. Pairs whose first signatures differ in more, up to ``REACH`` bits, count as well where
-they happen to share a table; in most cases they do.
+they happen to share a table: about two in three of those at 7 bits and one in three at 8.
 
 Candidates come from covering LSH: bit *i* gets a vector m(i) of ``radius + 1`` bits, and table *v*
 (every non-zero vector of as many bits) keeps exactly the bits with odd <m(i), v>. The at most
 ``radius`` differing bits span at most ``radius`` dimensions, so some *v* is orthogonal to all of
 them: each pair within the radius agrees in one of the ``2**(radius+1) - 1`` tables, with certainty.
 
+64 bits are too few for copies that share 70-90 % of their word pairs. Two documents are near-duplicates
+as well when the min-hashes of their sets of word pairs say so: ``BANDS`` bands of ``ROWS`` min-hashes give the
+candidates (at a Jaccard index of 0.7, 99.6 % share a band), and one bit of each of ``SKETCH`` min-hashes confirms
+them, ``AGREE`` of which must agree. A share of (1 + J) / 2 does, so that J of 0.625 is where half are taken.
+
 Within a bucket every pair is compared, but only a spanning forest of the matches is emitted, since
 groups are connected components: a bucket of k copies yields k - 1 edges, not k * k.
 """
@@ -31,6 +36,13 @@ REACH = 8
 CONFIRM = 18
 MIN_WORDS = 8
 CAP = 4
+BANDS = 20
+ROWS = 4
+SKETCH = 256
+AGREE = 208
+#: word pairs hashed at a time
+_PAIRS = 1 << 16
+_FACTORS = np.random.default_rng(20240301).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _M = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_M, -1, 1 << 64)
@@ -121,9 +133,37 @@ def simhash(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np
     return out
 
 
+def min_hashes(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """The least of each of ``SKETCH`` hashes of the documents' values, (docs, SKETCH); ``doc`` ascends."""
+    out = np.full((SKETCH, docs), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), _PAIRS):
+        part, owner = h[at : at + _PAIRS], doc[at : at + _PAIRS]
+        begins = runs(owner)
+        owner = owner[begins]
+        for i, factor in enumerate(_FACTORS):
+            out[i, owner] = np.minimum(out[i, owner], np.minimum.reduceat(part * factor, begins))
+    return out.T
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """Band keys and, after them, the sketch's words of every row of ``min_hashes``."""
+    value = mix64(least ^ _FACTORS)
+    keys = np.zeros((len(least), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        keys = mix64(keys * np.uint64(0x9FB21C651E98DF25) ^ value[:, i : BANDS * ROWS : ROWS])
+    bits = np.packbits((value & np.uint64(1)).astype(bool), axis=1, bitorder="little")
+    return np.concatenate((keys, np.ascontiguousarray(bits).view(np.uint64)), axis=1)
+
+
 def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word SimHash, word-pair SimHash, word count) of every text of the array."""
+    return described(col)[:3]
+
+
+def described(col: pa.Array, sketched: bool = False) -> tuple[np.ndarray, ...]:
+    """``signatures`` and, if ``sketched``, the ``sketches`` of the texts' word pairs."""
     n = len(col)
+    marks = np.zeros((n if sketched else 0, BANDS + SKETCH // 64), np.uint64)
     h1, h2, count = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for start, size in slices(col):
         h, length, doc = words(col.slice(start, size)) if size > 1 else _words_in_cuts(col.slice(start, 1))
@@ -139,8 +179,10 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             single = num[doc] == 1
             pair = np.where(single, h, pair)
             h2[start : start + size] = simhash(pair, (same | single).astype(np.int64), doc, size)
+            if sketched:
+                marks[start : start + size] = sketches(min_hashes(pair[same | single], doc[same | single], size))
         count[start : start + size] = num
-    return h1, h2, count
+    return h1, h2, count, marks
 
 
 def masks(radius: int) -> np.ndarray:
@@ -164,9 +206,13 @@ def _near(a1, a2, b1, b2, short, radius: int, confirm: int) -> np.ndarray:
     return np.where(short, (d1 == 0) & (d2 == 0), (d1 <= max(radius, REACH)) & (d2 <= confirm))
 
 
-def _forest(h1, h2, few, radius, confirm) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(seed position, member positions) of the components of one bucket."""
-    left = np.arange(len(h1))
+def _alike(a, b) -> np.ndarray:
+    """Whether sketches, words first, agree in ``AGREE`` bits."""
+    return sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b)) <= SKETCH - AGREE
+
+
+def _forest(left: np.ndarray, near) -> list[tuple[int, np.ndarray]]:
+    """(seed, members) of the components of one bucket, whose positions are ``left``."""
     found = []
     while len(left) > 1:
         seed, left = left[0], left[1:]
@@ -175,12 +221,10 @@ def _forest(h1, h2, few, radius, confirm) -> list[tuple[np.ndarray, np.ndarray]]
             hit = np.zeros(len(left), bool)
             step = max(1, (1 << 20) // len(left))
             for i in range(0, len(frontier), step):
-                f = frontier[i : i + step, None]
                 ask = left[~hit]
                 if not len(ask):
                     break
-                near = _near(h1[f], h2[f], h1[ask], h2[ask], few[f] | few[ask], radius, confirm).any(axis=0)
-                hit[np.flatnonzero(~hit)[near]] = True
+                hit[np.flatnonzero(~hit)[near(frontier[i : i + step, None], ask).any(axis=0)]] = True
             frontier, left = left[hit], left[~hit]
             members.append(frontier)
         if members and sum(map(len, members)):
@@ -188,20 +232,19 @@ def _forest(h1, h2, few, radius, confirm) -> list[tuple[np.ndarray, np.ndarray]]
     return found
 
 
-def bucket_edges(key, node, h1, h2, few, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning-forest edges of the near pairs that share a key; keys needn't be sorted."""
+def bucket_edges(key, node, near) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning-forest edges of the pairs that share a key and of which ``near(positions, positions)`` holds; keys needn't be sorted."""
     order = np.argsort(key, kind="stable")
     begin = runs(key[order])
     size = np.diff(np.append(begin, len(order)))
     two = begin[size == 2]
     i, j = order[two], order[two + 1]
-    ok = _near(h1[i], h2[i], h1[j], h2[j], few[i] | few[j], radius, confirm)
+    ok = near(i, j)
     a, b = [node[i[ok]]], [node[j[ok]]]
     for s, n in zip(begin[size > 2], size[size > 2]):
-        at = order[s : s + n]
-        for seed, members in _forest(h1[at], h2[at], few[at], radius, confirm):
-            a.append(np.full(len(members), node[at[seed]]))
-            b.append(node[at[members]])
+        for seed, members in _forest(order[s : s + n], near):
+            a.append(np.full(len(members), node[seed]))
+            b.append(node[members])
     a, b = np.concatenate(a), np.concatenate(b)
     a, b = np.minimum(a, b), np.maximum(a, b)
     keep = np.lexsort((b, a))
@@ -211,23 +254,24 @@ def bucket_edges(key, node, h1, h2, few, radius: int, confirm: int) -> tuple[np.
 
 
 def sign(docs: DataFrame, text: str, keep: list) -> DataFrame:
-    """Columns ``keep`` beside ``h1 h2 words node`` of each row; a null text has no words."""
+    """Columns ``keep`` beside ``h1 h2 words node marks`` of each row; a null text has no words."""
     df = docs.select(*keep, F.col(f"`{text}`").alias("_text"))
     schema, out = arrow_schema(
-        df.drop("_text").schema.simpleString()[7:-1] + ",h1:bigint,h2:bigint,words:bigint,node:bigint"
+        df.drop("_text").schema.simpleString()[7:-1] + ",h1:bigint,h2:bigint,words:bigint,node:bigint,marks:binary"
     )
 
     def run(batches):
         for batch in batches:
-            h1, h2, n = signatures(batch.column(batch.num_columns - 1))
+            h1, h2, n, marks = described(batch.column(batch.num_columns - 1), True)
             extra = [pa.array(x.view(np.int64)) for x in (h1, h2, n, node_of(h1, h2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], schema=out)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(marks.shape[1] * 8), len(n), [None, pa.py_buffer(marks)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra, raw.cast(pa.binary())], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
 def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, min_words: int = MIN_WORDS) -> DataFrame:
-    """Edges ``(a, b)`` between ``node`` values whose signatures match, a spanning forest of each bucket."""
+    """Edges ``(a, b)`` between ``node`` values whose signatures or sketches match, a spanning forest of each bucket."""
     distinct = signed.where("words > 0").groupBy("node").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), (F.min("words") < min_words).alias("few"))
     covering = masks(radius)
     kept_bits = F.array(*[F.lit(int(m)) for m in covering.view(np.int64)])
@@ -247,11 +291,44 @@ def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM,
         tf = t.column(0).to_numpy()
         h1, h2 = (t.column(i).to_numpy().view(np.uint64) for i in (1, 2))
         key = mix64((h1 & covering[tf >> 1]) ^ mix64((tf >> 1).astype(np.uint64) + np.uint64(1)))
-        a, b = bucket_edges(key, node_of(h1, h2), h1, h2, (tf & 1).astype(bool), radius, confirm)
-        for i in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (a, b)], schema=out)
+        few = (tf & 1).astype(bool)
+        near = lambda i, j: _near(h1[i], h2[i], h1[j], h2[j], few[i] | few[j], radius, confirm)
+        yield from _edge_batches(*bucket_edges(key, node_of(h1, h2), near), out)
+
+    return rows.mapInArrow(match, schema).unionByName(sketch_edges(signed, min_words))
+
+
+def _edge_batches(a: np.ndarray, b: np.ndarray, out: pa.Schema):
+    for i in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (a, b)], schema=out)
+
+
+def sketch_edges(signed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Edges ``(a, b)`` between ``node`` values of ``min_words`` words and more that share a band and whose sketches agree."""
+    distinct = signed.where(F.col("words") >= max(1, min_words)).groupBy("node").agg(F.min("marks").alias("marks"))
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    schema, out = arrow_schema("key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
+
+    def spread(batches):
+        for batch in batches:
+            n = batch.num_rows
+            marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(n, BANDS + len(words))
+            cols = [marks[:, :BANDS].ravel(), *(np.repeat(x, BANDS) for x in (batch.column(0).to_numpy(), *marks[:, BANDS:].T))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=out)
+
+    schema2, out2 = arrow_schema("a bigint, b bigint")
+
+    def match(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        key, node = (t.column(i).to_numpy() for i in (0, 1))
+        sketch = [c.to_numpy().view(np.uint64) for c in t.columns[2:]]
+        near = lambda i, j: _alike([x[i] for x in sketch], [x[j] for x in sketch])
+        yield from _edge_batches(*bucket_edges(key, node, near), out2)
 
-    return rows.mapInArrow(match, schema)
+    return distinct.mapInArrow(spread, schema).repartition("key").mapInArrow(match, schema2)
 
 
 def _linked(docs: DataFrame, id_col: str, text: str, radius: int, confirm: int, min_words: int) -> tuple[DataFrame, str]:
@@ -275,7 +352,8 @@ def groups(
     ``group_id`` is the least id in the row's group; ``kept`` marks one row of each group, the least
     by (id with nulls last, hash of the row). Rows without any word (null, empty, punctuation only)
     are each a group of their own and are kept, their ``group_id`` being their own id. Texts of fewer
-    than ``min_words`` words match only those with equal signatures. Repeated rows are one group.
+    than ``min_words`` words match only those with equal signatures. ``radius`` and ``confirm`` are of the SimHashes;
+    pairs of like min-hashes match besides. Repeated rows are one group.
     Other columns only break ties. An empty table gives an empty result.
     """
     flagged, _ = _linked(docs, id_col, text, radius, confirm, min_words)

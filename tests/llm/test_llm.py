@@ -309,6 +309,22 @@ def test_groups_against_brute_force(spark):
     assert copies > 30
 
 
+def test_groups_recall_of_word_pair_jaccard(spark):
+    rng = random.Random(8)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = []
+    for i in range(300):
+        words = [rare() for _ in range(rng.randint(60, 200))]
+        some = [rare() if rng.random() < 0.02 + 0.07 * (i % 10) / 10 else w for w in words]
+        texts += [" ".join(words), " ".join(some)]
+    pairs = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    jaccard = [len(a & b) / len(a | b) for a, b in zip(pairs[::2], pairs[1::2])]
+    near = [i for i, j in enumerate(jaccard) if 0.7 <= j < 0.9]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert len(near) > 100 and sum(got[2 * i + 1] == 2 * i for i in near) >= 0.97 * len(near)
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_deduplicate_odd(spark):
     df = docs(spark, ODD)
     out = simhash.deduplicate(df)
