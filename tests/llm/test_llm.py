@@ -641,3 +641,11 @@ def test_query(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     df.write.format("noop").mode("overwrite").save()
     assert df.columns
+
+
+def test_groups_query_lists_every_document(spark):
+    from gleanery.llm.queries import QUERIES
+
+    got = QUERIES["op5_simhash_groups"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "group_id", "group_size", "kept"]
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
