@@ -1,7 +1,8 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 A vector is described by its ``prefix`` nearest pivots, pivots being vectors of the table picked by a
-hash. The inverted file lists, for each pivot, the vectors that have it in their description. Two
+hash. The more pivots, the less stable the nearest ones are; beyond ``DENSE`` pivots the prefix grows by one
+with each doubling. The inverted file lists, for each pivot, the vectors that have it in their description. Two
 vectors are candidates when they share ``shared`` pivots at least, and a pair when the cosine of the
 vectors themselves then reaches ``threshold``.
 
@@ -27,6 +28,7 @@ from gleanery.scratch import write_shared
 THRESHOLD = 0.95
 PREFIX = 8
 SHARED = 4
+DENSE = 600
 #: pivots: this many times the square root of the number of vectors
 DENSITY = 6.0
 #: pivots at least and at most; beyond the latter lists grow with the table
@@ -35,7 +37,12 @@ PLACES = 6
 _SLICE = 1024
 
 
-def _described(laid: DataFrame, kind: str, pivots: np.ndarray, prefix: int) -> DataFrame:
+def _grown(prefix: int, pivots: int) -> int:
+    """Pivots in a description where there are ``pivots`` in all."""
+    return prefix + math.ceil(max(0.0, math.log2(max(1, pivots) / DENSE)))
+
+
+def _described(laid: DataFrame, kind: str, pivots: dict[int, np.ndarray], prefix: int) -> DataFrame:
     """``(id, dim, v BINARY, near ARRAY<INT>)``: every vector with its nearest pivots, nearest first."""
     shared = laid.sparkSession.sparkContext.broadcast(pivots)
     schema, out = arrow_schema("id bigint, dim int, v binary, near array<int>")
@@ -53,7 +60,7 @@ def _described(laid: DataFrame, kind: str, pivots: np.ndarray, prefix: int) -> D
                     part = raw[at * width : min(len(ids), at + _SLICE) * width]
                     x = unit(part, dim, kind).astype(np.float32)
                     score = x @ mine.T
-                    k = min(prefix, score.shape[1])
+                    k = min(_grown(prefix, score.shape[1]), score.shape[1])
                     top = np.argpartition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k :]
                     order = np.lexsort((top, -np.take_along_axis(score, top, 1)))
                     top = np.take_along_axis(top, order, 1).astype(np.int32)
@@ -123,7 +130,9 @@ def near_pairs(
     count = laid.agg(F.sum(F.size("ids"))).first()[0] or 0
     if not count:
         return spark.createDataFrame([], "id_a bigint, id_b bigint, similarity double")
-    rows, _ = write_shared(_described(laid, kind, _pick(laid, kind, count, density), prefix), "pivot-descriptions")
+    pivots = _pick(laid, kind, count, density)
+    prefixes = {dim: _grown(prefix, len(p)) for dim, p in pivots.items()}
+    rows, _ = write_shared(_described(laid, kind, pivots, prefix), "pivot-descriptions")
     listed = rows.select("dim", F.explode("near").alias("pivot")).groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"))
     rarity: dict[int, np.ndarray] = {}
     for dim, pivot, n in zip(*listed.toArrow().to_pydict().values()):
@@ -131,7 +140,6 @@ def near_pairs(
     rarity = {d: np.array([p for _, p in sorted(r)], np.int64) for d, r in rarity.items()}
     ranks = {d: _inverse(order) for d, order in rarity.items()}
     known = spark.sparkContext.broadcast(ranks)
-    kept = prefix - shared + 1
     schema, out = arrow_schema("pivot int, dim int, id bigint, v binary, ranked array<int>")
 
     def post(batches):
@@ -143,7 +151,7 @@ def near_pairs(
                 width = len(near[0])
                 ranked = np.sort(known.value[dim][near.flatten().to_numpy().reshape(-1, width)], axis=1).astype(np.int32)
                 # fewer pivots than asked for: all are listed
-                lists = min(kept, width) if width == prefix else width
+                lists = min(prefixes[dim] - shared + 1, width) if width == prefixes[dim] else width
                 again = np.repeat(np.arange(len(ranked)), lists)
                 full = pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1, dtype=np.int32) * width), pa.array(ranked[again].ravel()))
                 cols = [pa.array(ranked[:, :lists].ravel()), *(part.column(i).take(pa.array(again)) for i in (1, 0, 2)), full]
@@ -157,8 +165,9 @@ def near_pairs(
         ids = table.column("id").to_numpy()
         n = len(ids)
         ranked = table.column("ranked").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        need = shared if ranked.shape[1] == prefix else 1
-        lists = min(kept, ranked.shape[1]) if ranked.shape[1] == prefix else ranked.shape[1]
+        full = ranked.shape[1] == prefixes[dim]
+        need = shared if full else 1
+        lists = min(prefixes[dim] - shared + 1, ranked.shape[1]) if full else ranked.shape[1]
         x = unit(b"".join(table.column("v").to_pylist()), dim, kind)
         used, local = np.unique(ranked, return_inverse=True)
         local = local.reshape(ranked.shape)

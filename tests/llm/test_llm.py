@@ -60,6 +60,18 @@ def test_near_pairs_recall(spark):
     assert all(abs(s[k] - v) < 2e-6 for k, v in got.items())
 
 
+def test_near_pairs_recall_with_many_pivots(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(600, 64))
+    side -= (side * x[:600]).sum(axis=1, keepdims=True) * x[:600]
+    near = 0.952 * x[:600] + (1 - 0.952**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = vectors(spark, rows_of(np.concatenate([x, near])))
+    got = {(r["id_a"], r["id_b"]) for r in pivots.near_pairs(df, density=55.0).collect()}
+    assert got <= {(i, 12_000 + i) for i in range(600)} and len(got) >= 0.95 * 600
+
+
 def test_near_pairs_odd(spark):
     rows = [*ODD_VECTORS, (1, [1.0, 0.0], 0, 1, ""), (2, [2.0, 0.0], 0, 1, ""), (2, [2.0, 0.01], 0, 1, ""), (3, [1.0, 0.0, 0.0], 0, 1, "")]
     assert [tuple(r) for r in pivots.near_pairs(vectors(spark, rows)).collect()] == [(1, 2, 1.0)]
