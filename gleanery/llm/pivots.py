@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import arrow_schema
@@ -72,9 +72,15 @@ def _described(laid: DataFrame, kind: str, pivots: dict[int, np.ndarray], prefix
     return laid.mapInArrow(describe, schema)
 
 
-def _pick(laid: DataFrame, kind: str, count: int, density: float) -> dict[int, np.ndarray]:
-    """Pivots of every dimension, unit length: the vectors whose hash is below the share that is wanted."""
+def _pick(laid: DataFrame, kind: str, density: float) -> dict[int, np.ndarray]:
+    """Pivots of every dimension, unit length: its distinct vectors of the least hashes.
+
+    Each block gives the vectors whose hash is below the share that is wanted of their dimension, and
+    the least ``PIVOTS[0]`` of its own besides: a dimension of a few vectors or of many copies has pivots too.
+    """
     schema, out = arrow_schema("dim int, h bigint, v binary")
+    counts = dict(laid.groupBy("dim").agg(F.sum(F.size("ids"))).collect())
+    wanted = {dim: min(PIVOTS[1], max(PIVOTS[0], density * math.sqrt(n))) for dim, n in counts.items()}
 
     def some(batches):
         for batch in batches:
@@ -83,20 +89,21 @@ def _pick(laid: DataFrame, kind: str, count: int, density: float) -> dict[int, n
                 data = batch.column(3)[row].as_buffer()
                 width = np.dtype(kind).itemsize * dim
                 raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-                h = _hash(raw)
-                n = len(raw)
-                want = min(PIVOTS[1], max(PIVOTS[0], density * math.sqrt(count)))
-                # twice the share, then the least: equal vectors have equal hashes and count once
-                keep = h < min(1.0, 2 * want / count) * 2.0**63 if count > PIVOTS[0] * 2 else np.ones(n, bool)
-                rows = [r.tobytes() for r in raw[keep]]
+                # twice the share: equal vectors have equal hashes and count once
+                h, first = np.unique(_hash(raw), return_index=True)
+                keep = h < min(1.0, 2 * wanted[dim] / counts[dim]) * 2.0**63
+                keep[: PIVOTS[0]] = True
+                rows = [r.tobytes() for r in raw[first[keep]]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(h[keep].astype(np.int64)), pa.array(rows, pa.binary())], schema=out)
 
-    got = laid.mapInArrow(some, schema).groupBy("dim", "v").agg(F.min("h").alias("h")).toArrow()
+    got = laid.mapInArrow(some, schema).groupBy("dim", "v").agg(F.min("h").alias("h"))
+    got = got.withColumn("nth", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v")))
+    limit = F.element_at(F.create_map(*[F.lit(x) for dim, n in wanted.items() for x in (dim, int(n))]), F.col("dim"))
+    got = got.where(F.col("nth") <= limit).toArrow()
     pivots = {}
-    want = int(min(PIVOTS[1], max(PIVOTS[0], density * math.sqrt(count))))
     for dim in set(got.column("dim").to_pylist()):
         rows = got.filter(pc.equal(got.column("dim"), dim)).sort_by([("h", "ascending"), ("v", "ascending")])
-        pivots[dim] = unit(b"".join(rows.column("v").to_pylist()[:want]), dim, kind).astype(np.float32)
+        pivots[dim] = unit(b"".join(rows.column("v").to_pylist()), dim, kind).astype(np.float32)
     return pivots
 
 
@@ -130,7 +137,7 @@ def near_pairs(
     count = laid.agg(F.sum(F.size("ids"))).first()[0] or 0
     if not count:
         return spark.createDataFrame([], "id_a bigint, id_b bigint, similarity double")
-    pivots = _pick(laid, kind, count, density)
+    pivots = _pick(laid, kind, density)
     prefixes = {dim: _grown(prefix, len(p)) for dim, p in pivots.items()}
     rows, _ = write_shared(_described(laid, kind, pivots, prefix), "pivot-descriptions")
     listed = rows.select("dim", F.explode("near").alias("pivot")).groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"))

@@ -78,6 +78,17 @@ def test_near_pairs_odd(spark):
     assert pivots.near_pairs(vectors(spark, rows[:0])).count() == 0
 
 
+def test_near_pairs_rare_dimensions_and_copies(spark):
+    rng = np.random.default_rng(6)
+    many, few = rng.normal(size=(3000, 16)), rng.normal(size=(4, 8))
+    rows = rows_of(many) + rows_of(np.repeat(few, 2, axis=0), range(5000, 5008)) + rows_of(np.ones((40, 3)), range(6000, 6040))
+    got = {(r["id_a"], r["id_b"]) for r in pivots.near_pairs(vectors(spark, rows)).collect()}
+    assert {(a, b) for a, b in got if a >= 5000} == {(i, i + 1) for i in range(5000, 5008, 2)} | set(itertools.combinations(range(6000, 6040), 2))
+    # one vector again and again, of a hash beyond the share: 200 of them are more than the least number of pivots
+    for v in rng.normal(size=(3, 4)):
+        assert pivots.near_pairs(vectors(spark, rows_of(np.repeat(v[None], 200, axis=0)))).count() == 199 * 100
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_topk_is_exact(spark, kind):
     x = np.round(clustered(1, 150, 60, 6), 1)
