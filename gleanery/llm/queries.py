@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import chat, ctw, langid, mixing, packing, pivots, rans, secrets, simhash, topk
 
@@ -12,7 +13,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.near_pairs(_table(spark, sf_dir, "embeddings"))
+    return pivots.near_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def _altered(j: int):
+    return lambda x, i: x * (1 + 0.02 * j * ((i * 7 + j) % 5 - 2))
+
+
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first operator over all vectors and three altered copies of each, of which it has to find the links."""
+    t = _table(spark, sf_dir, "embeddings")
+    v = F.col("embedding").cast("array<double>")
+    made = [F.transform(v, _altered(j)) for j in range(3)]
+    made.append(made[0])
+    parts = [t.select((F.col("vec_id") * 4 + j).alias("vec_id"), x.alias("embedding")) for j, x in enumerate(made)]
+    return pivots.near_groups(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
 def op2_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_pairs, op2_code_length, op3_packing, op4_topk, op5_simhash_groups, op6_language, op7_perspectives,
-        op8_rans_shards, op9_mixture, op10_secrets,
+        op8_rans_shards, op9_mixture, op10_secrets, embedding_copies,
     )
 }
 
@@ -64,14 +79,33 @@ _VECTORS = """
     WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
 """
 
+
+def _near_groups(vectors: str) -> str:
+    """Copies, links and classes of ``vectors(vec_id, v)``, all pairs compared."""
+    return f"""
+        WITH RECURSIVE x AS ({vectors}),
+        d AS (
+            SELECT v, min(vec_id) AS least, count(*) AS n, row_number() OVER () AS node FROM x
+            WHERE vec_id IS NOT NULL AND len(v) > 0 AND list_dot_product(v, v) > 0 GROUP BY v
+        ),
+        e AS (
+            SELECT a.node AS a, b.node AS b FROM d a JOIN d b ON a.node <> b.node AND len(a.v) = len(b.v)
+            WHERE round(list_cosine_similarity(a.v, b.v), 6) >= {pivots.THRESHOLD}
+        ),
+        r AS (SELECT node, node AS reached FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
+        c AS (SELECT r.node, min(d.least) AS class_id FROM r JOIN d ON d.node = r.reached GROUP BY r.node),
+        l AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+        SELECT x.vec_id, coalesce(c.class_id, x.vec_id) AS class_id, coalesce(d.n - 1, 0)::BIGINT AS n_copies, coalesce(l.links, 0)::BIGINT AS n_links
+        FROM x LEFT JOIN d ON x.v = d.v AND x.vec_id IS NOT NULL LEFT JOIN c USING (node) LEFT JOIN l ON l.a = d.node
+    """
+
+
 ORACLE = {
-    "op1_embedding_pairs": f"""
-        WITH x AS ({_VECTORS})
-        SELECT a.vec_id AS id_a, b.vec_id AS id_b, max(round(list_cosine_similarity(a.v, b.v), 6)) AS similarity
-        FROM x a JOIN x b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
-        WHERE round(list_cosine_similarity(a.v, b.v), 6) >= {pivots.THRESHOLD}
-        GROUP BY ALL
-    """,
+    "op1_embedding_pairs": _near_groups("SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings"),
+    "embedding_copies": _near_groups("""
+        SELECT vec_id * 4 + j AS vec_id, list_transform(embedding, lambda x, i: x::DOUBLE * (1 + 0.02::DOUBLE * (j % 3) * (((i - 1) * 7 + j % 3) % 5 - 2))) AS v
+        FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS j)
+    """),
     "op4_topk": f"""
         WITH x AS ({_VECTORS}),
         s AS (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import arrow_schema
@@ -34,6 +34,22 @@ def number_kind(vectors: DataFrame, vector: str) -> str:
     return "f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "f8"
 
 
+def _numbers(vectors: DataFrame, vector: str) -> Column:
+    return F.col(f"`{vector}`").cast("array<float>" if number_kind(vectors, vector) == "f4" else "array<double>")
+
+
+def sound(vectors: DataFrame, id_col: str, vector: str) -> Column:
+    """Whether a row has an id and a vector with a direction; never null."""
+    v = _numbers(vectors, vector)
+    whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(F.col(f"`{id_col}`").cast("bigint").isNotNull() & (F.size(v) > 0) & whole & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """``(id BIGINT, v)`` of the rows that are ``sound``."""
+    return vectors.where(sound(vectors, id_col, vector)).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), _numbers(vectors, vector).alias("v"))
+
+
 def blocks(vectors: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> DataFrame:
     """Usable vectors as ``(block BIGINT, dim INT, ids ARRAY<BIGINT>, data BINARY)``, in 32-bit floats if they came as these.
 
@@ -41,11 +57,7 @@ def blocks(vectors: DataFrame, id_col: str, vector: str, block: int = BLOCK) ->
     that isn't finite.
     """
     kind = number_kind(vectors, vector)
-    v = F.col(f"`{vector}`").cast("array<float>" if kind == "f4" else "array<double>")
-    good = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v")).where(
-        "id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))"
-    )
-    good = good.where("exists(v, x -> x <> 0)")
+    good = usable(vectors, id_col, vector)
     schema, out = arrow_schema("dim int, ids array<bigint>, data binary")
 
     def lay(batches):

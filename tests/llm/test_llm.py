@@ -50,43 +50,83 @@ def clustered(seed=0, n=400, copies=200, dim=16):
     return np.concatenate([x, near]).astype(np.float32)
 
 
-def test_near_pairs_recall(spark):
-    x = clustered()
-    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in pivots.near_pairs(vectors(spark, rows_of(x))).collect()}
+def brute_near(ids, x):
+    """{row: (class id, copies, links)} by comparing all pairs of different vectors."""
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    s = np.round(u @ u.T, 6)
-    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= pivots.THRESHOLD, 1)))}
-    assert len(want) > 200 and set(got) <= want and len(got) >= 0.9 * len(want)
-    assert all(abs(s[k] - v) < 2e-6 for k, v in got.items())
+    same = (x[:, None, :] == x[None, :, :]).all(axis=2)
+    near = (np.round(u @ u.T, 6) >= pivots.THRESHOLD) & ~same
+    first = same.argmax(axis=1) == np.arange(len(x))
+    reach = same | near
+    while True:
+        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
+        if (wider == reach).all():
+            break
+        reach = wider
+    return {i: (min(ids[j] for j in np.flatnonzero(reach[i])), int(same[i].sum()) - 1, int(near[i][first].sum())) for i in range(len(x))}
+
 
+def grouped(df, **more):
+    return sorted((tuple(r) for r in pivots.near_groups(df, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("tile", [pivots.TILE, 8])
+def test_near_groups_against_brute_force(spark, tile):
+    x = clustered()
+    x = np.concatenate((x, x[:7], x[:3]))
+    want = brute_near(range(len(x)), x)
+    got = {r[0]: r[1:] for r in grouped(vectors(spark, rows_of(x)), tile=tile)}
+    assert set(got) == set(range(len(x))) and sum(n for _, _, n in want.values()) > 400
+    assert all(g[1] == want[i][1] and g[2] <= want[i][2] for i, g in got.items())
+    assert sum(g[2] for g in got.values()) >= 0.97 * sum(w[2] for w in want.values())
+    assert np.mean([g[0] == want[i][0] for i, g in got.items()]) > 0.97
 
-def test_near_pairs_recall_with_many_pivots(spark):
+
+def test_tiles_and_partitions_dont_change_the_result(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(1, 16)) + rng.normal(size=(150, 16)) * 0.1, rng.normal(size=(150, 16)))).astype(np.float32)
+    df = vectors(spark, rows_of(x))
+    whole = grouped(df)
+    assert whole == grouped(df.repartition(7), tile=16) and sum(r[3] for r in whole) > 10_000
+
+
+def test_near_groups_recall_with_many_pivots(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(12_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     side = rng.normal(size=(600, 64))
     side -= (side * x[:600]).sum(axis=1, keepdims=True) * x[:600]
     near = 0.952 * x[:600] + (1 - 0.952**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
-    df = vectors(spark, rows_of(np.concatenate([x, near])))
-    got = {(r["id_a"], r["id_b"]) for r in pivots.near_pairs(df, density=55.0).collect()}
-    assert got <= {(i, 12_000 + i) for i in range(600)} and len(got) >= 0.95 * 600
+    got = grouped(vectors(spark, rows_of(np.concatenate([x, near]))), density=55.0)
+    linked = [r for r in got if r[3]]
+    assert all(r[3] == 1 and r[1] == r[0] % 12_000 < 600 for r in linked) and len(linked) >= 2 * 0.95 * 600
+
+
+def test_a_third_of_all_vectors_in_one_group(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = x[0] + rng.normal(size=(1000, 32)) * 0.08
+    got = {r[0]: r for r in grouped(vectors(spark, rows_of(x)))}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (np.round(u.astype(np.float32) @ u.T.astype(np.float32), 6) >= pivots.THRESHOLD).sum() - 3000
+    assert sum(r[3] for r in got.values()) >= 0.99 * want > 900_000 and all(got[i][1] == 0 for i in range(1000))
 
 
-def test_near_pairs_odd(spark):
-    rows = [*ODD_VECTORS, (1, [1.0, 0.0], 0, 1, ""), (2, [2.0, 0.0], 0, 1, ""), (2, [2.0, 0.01], 0, 1, ""), (3, [1.0, 0.0, 0.0], 0, 1, "")]
-    assert [tuple(r) for r in pivots.near_pairs(vectors(spark, rows)).collect()] == [(1, 2, 1.0)]
-    assert pivots.near_pairs(vectors(spark, rows[:0])).count() == 0
+def test_near_groups_odd(spark):
+    rows = [*ODD_VECTORS, (1, [1.0, 0.0], 0, 1, ""), (2, [2.0, 0.0], 0, 1, ""), (2, [2.0, 0.01], 0, 1, ""), (2, [2.0, 0.01], 0, 1, ""), (3, [1.0, 0.0, 0.0], 0, 1, ""), (4, [-0.0, 1.0], 0, 1, ""), (5, [0.0, 1.0], 0, 1, "")]
+    bare = [(r[0], r[0], 0, 0) for r in ODD_VECTORS]
+    assert grouped(vectors(spark, rows)) == sorted([*bare, (1, 1, 0, 2), (2, 1, 0, 2), (2, 1, 1, 2), (2, 1, 1, 2), (3, 3, 0, 0), (4, 4, 1, 0), (5, 4, 1, 0)], key=str)
+    assert grouped(vectors(spark, rows[:0])) == [] and grouped(vectors(spark, ODD_VECTORS)) == sorted(bare, key=str)
 
 
-def test_near_pairs_rare_dimensions_and_copies(spark):
+def test_near_groups_rare_dimensions_and_copies(spark):
     rng = np.random.default_rng(6)
     many, few = rng.normal(size=(3000, 16)), rng.normal(size=(4, 8))
     rows = rows_of(many) + rows_of(np.repeat(few, 2, axis=0), range(5000, 5008)) + rows_of(np.ones((40, 3)), range(6000, 6040))
-    got = {(r["id_a"], r["id_b"]) for r in pivots.near_pairs(vectors(spark, rows)).collect()}
-    assert {(a, b) for a, b in got if a >= 5000} == {(i, i + 1) for i in range(5000, 5008, 2)} | set(itertools.combinations(range(6000, 6040), 2))
+    got = {r[0]: r[1:] for r in grouped(vectors(spark, rows))}
+    assert all(got[i] == (i - i % 2, 1, 0) for i in range(5000, 5008)) and all(got[i] == (6000, 39, 0) for i in range(6000, 6040))
     # one vector again and again, of a hash beyond the share: 200 of them are more than the least number of pivots
     for v in rng.normal(size=(3, 4)):
-        assert pivots.near_pairs(vectors(spark, rows_of(np.repeat(v[None], 200, axis=0)))).count() == 199 * 100
+        assert grouped(vectors(spark, rows_of(np.repeat(v[None], 200, axis=0)))) == sorted(((i, 0, 199, 0) for i in range(200)), key=str)
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
