@@ -29,10 +29,8 @@ from gleanery.llm.common import arrow_schema, flat, runs, slices
 from gleanery.scratch import drop_shared, write_shared
 
 DEPTH = 4
-#: price tables up to so many grams are broadcast, 16 bytes each; longer ones are joined to blocks of documents
-BROADCAST_GRAMS = 2_000_000
-#: bytes of text in such a block
-BLOCK_BYTES = 32 << 20
+#: bytes of text in a block of documents, which gets the prices of its own grams
+BLOCK_BYTES = 16 << 20
 #: gram occurrences held by a worker before they are merged
 BUFFER = 1 << 21
 _LOG_HALF = float(np.log(0.5))
@@ -272,14 +270,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: in
     one fold has no text its counts are all 0 and the other fold's bytes cost 8 bits. Other columns are
     ignored.
 
-    A price table of at most ``BROADCAST_GRAMS`` grams goes to every worker. With a longer one the documents are
-    shuffled once into blocks of about ``BLOCK_BYTES``, and each block gets the prices of its own distinct grams.
-    Both ways give the same result.
+    The documents are shuffled once into blocks of about ``BLOCK_BYTES``, a longer text being a block by itself, and
+    each block gets the prices of its own distinct grams. Nothing that grows with the table is broadcast.
     """
     spark = docs.sparkSession
     grams, gram_path = write_shared(gram_counts(docs, text, depth), "ctw-grams")
     table, _ = write_shared(prices(grams, depth), "ctw-prices")
-    size = grams.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.col("n0") + F.col("n1")).alias("bytes")).first()
+    size = grams.agg(F.sum(F.col("n0") + F.col("n1")).alias("bytes")).first()
     drop_shared(spark, gram_path)
     t = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("t"))
@@ -292,16 +289,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: in
         cost = _cost(texts, fold.to_numpy(zero_copy_only=False).astype(np.int64), keys, bits, depth)
         return pa.RecordBatch.from_arrays([ids, lengths, pa.array(cost)], schema=out)
 
-    if size["grams"] <= BROADCAST_GRAMS:
-        model = spark.sparkContext.broadcast(_arrays(table.toArrow()))
-
-        def run(batches):
-            for batch in batches:
-                yield scored(*batch.columns, *model.value)
-
-        total = base.mapInArrow(run, schema)
-    else:
-        total = _by_blocks(base, table, -(-size["bytes"] // BLOCK_BYTES), depth, scored, schema, out)
+    total = _by_blocks(base, table, max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES)), depth, scored, schema, out)
     return total.select(
         "doc_id", "n_bytes", F.round("bits", 3).alias("bits"), F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 6)).alias("bits_per_byte")
     )
@@ -344,11 +332,13 @@ def _by_blocks(base: DataFrame, table: DataFrame, blocks: int, depth: int, score
         key = part.column("block")[0].as_py()
         return pa.Table.from_arrays([pa.array(np.full(len(found), key)), pa.array(found.astype(np.int64))], schema=need_out)
 
-    need = blocked.groupBy("block").applyInArrow(distinct, need_schema).join(table, "gram")
+    need = blocked.groupBy("block").applyInArrow(distinct, need_schema).join(table.hint("merge"), "gram")
 
     def score(part: pa.Table, priced: pa.Table) -> pa.Table:
         if not part.num_rows:
             return pa.Table.from_batches([], schema=out)
-        return pa.Table.from_batches([scored(*(whole(part.column(c)) for c in ("doc_id", "fold", "t")), *_arrays(priced))])
+        keys, bits = _arrays(priced)
+        parts = part.select(["doc_id", "fold", "t"]).to_batches()
+        return pa.Table.from_batches([scored(*b.columns, keys, bits) for b in parts if b.num_rows], schema=out)
 
     return blocked.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(score, schema)

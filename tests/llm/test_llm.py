@@ -245,7 +245,6 @@ def test_ctw_odd_and_blocks(spark, monkeypatch):
     assert len(one) == len(ODD) + 20
     by = {r["doc_id"]: r for r in one}
     assert by[1]["n_bytes"] == by[2]["n_bytes"] == 0 and by[1]["bits_per_byte"] is None and by[6]["n_bytes"] == 1_500_000
-    monkeypatch.setattr(ctw, "BROADCAST_GRAMS", 10)
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 200_000)
     many = sorted(ctw.score(df).collect(), key=key)
     assert [(r["doc_id"], r["n_bytes"]) for r in many] == [(r["doc_id"], r["n_bytes"]) for r in one]
