@@ -7,14 +7,20 @@ one of these structures must be there to the last byte:
 ``pkcs8_key``           DER: SEQUENCE { INTEGER 0 or 1, SEQUENCE { OID .. }, OCTET STRING .. }
 ``rsa_key``             DER: SEQUENCE of INTEGER 0 or 1 and at least eight INTEGERs
 ``ec_key``              DER: SEQUENCE { INTEGER 1, OCTET STRING of 16 to 80 bytes .. }
+``dsa_key``             DER: SEQUENCE of INTEGER 0 and the five INTEGERs p, q, g, y, x, p of 64 bytes and q of 20 or more
+``encrypted_key``       DER: SEQUENCE { SEQUENCE { OID of a password-based scheme .. }, OCTET STRING }
 ``openssh_key``         ``openssh-key-v1``, then strings whose lengths fill the key
 ``checked_token``       ``ghp_`` and the like: 30 characters and the base62 CRC-32 of them
 ``access_key_id``       AKIA / ASIA and 16 characters of base32, six different ones at least
 ``assigned_key``        hexadecimal or base64 of key length and high diversity, assigned to a name such as
                         token, secret, password or api_key
 
-DER and OpenSSH keys may be wrapped over lines. Public keys, hashes and other encodings that aren't
-assigned to such a name are left alone.
+DER and OpenSSH keys may be wrapped over lines, line ends being real or written as ``\\n``, and lines may be quoted
+(``>``, ``#``, ``//``, ``*``, ``|``). Public keys, hashes and other encodings that aren't assigned to such a name are left alone.
+
+Two kinds have no inner structure to parse: what an ``access_key_id`` decodes to is any 10 bytes, so its prefix and its
+alphabet are all that can be checked, and an ``assigned_key`` is raw bytes, so the name in the 48 bytes before it decides
+once it decodes.
 """
 
 from __future__ import annotations
@@ -50,7 +56,11 @@ _NAMED = re.compile(
     rb"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|credentials?|bearer)"
     rb"[\"']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}[\"']?$"
 )
-_WRAP = re.compile(rb"(?:\r?\n[ \t]*[A-Za-z0-9+/=]+)+")
+_BREAK = rb"(?:\r?\n|(?:\\r)?\\n)[ \t]*(?:(?:[>#*|]+|//)[ \t]*)?"
+_BREAKS = re.compile(_BREAK)
+_WRAP = re.compile(rb"(?:" + _BREAK + rb"[A-Za-z0-9+/=]+)+")
+#: OIDs of password-based encryption: PKCS #5 and PKCS #12
+_SEALED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _HEX = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -99,12 +109,20 @@ def der_key(data: bytes) -> str | None:
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return None
     parts = _children(data, outer[1], outer[2])
-    if not parts or len(parts) < 2 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+    if not parts or len(parts) < 2:
+        return None
+    if [p[0] for p in parts] == [0x30, 0x04]:
+        inner = _children(data, parts[0][1], parts[0][2])
+        sealed = inner and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(_SEALED)
+        return "encrypted_key" if sealed and parts[1][2] - parts[1][1] >= 16 else None
+    if parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return None
     version = data[parts[0][1]]
     tags = [p[0] for p in parts]
     if len(parts) >= 9 and set(tags[:9]) == {0x02} and version in (0, 1):
         return "rsa_key"
+    if tags == [0x02] * 6 and version == 0 and parts[1][2] - parts[1][1] >= 64 and parts[2][2] - parts[2][1] >= 20:
+        return "dsa_key"
     if len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 and version in (0, 1):
         inner = _children(data, parts[1][1], parts[1][2])
         return "pkcs8_key" if inner and inner[0][0] == 0x06 else None
@@ -186,12 +204,13 @@ def confirm(data: bytes, start: int, end: int, low: int, high: int) -> list[tupl
         if _base62(binascii.crc32(m[1])) == m[2]:
             found.append((start + m.start(), start + m.end(), "checked_token"))
     for m in _ACCESS.finditer(run):
-        body = m[1]
-        base64.b32decode(body + b"=" * (-len(body) % 8))
-        if len(set(body)) >= 6:
+        if len(set(m[1])) >= 6:
             found.append((start + m.start(), start + m.end(), "access_key_id"))
     for m in _PART.finditer(run):
         a, b, value = start + m.start(), start + m.end(), m[0]
+        if a > low and data[a - 1 : a] == b"\\" and value[:1] in (b"n", b"r", b"t"):
+            # the letter belongs to an escape before the value
+            a, value = a + 1, value[1:]
         if not free(a, b):
             continue
         kind = None
@@ -199,7 +218,7 @@ def confirm(data: bytes, start: int, end: int, low: int, high: int) -> list[tupl
             # the rest of a key that is wrapped over lines
             wrapped = _WRAP.match(data, b, high) if b == end else None
             for stop in ([wrapped.end()] if wrapped else []) + [b]:
-                raw = _b64(b"".join(data[a:stop].split()))
+                raw = _b64(_BREAKS.sub(b"", data[a:stop]))
                 kind = raw and (der_key(raw) or ("openssh_key" if openssh_key(raw) else None))
                 if kind:
                     b = stop
@@ -262,7 +281,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """``(doc_id, start, end, kind)`` of every secret, in characters of the text, ``end`` exclusive.
 
     Null and empty texts have none. Repeated rows are each reported, null ids as null. Texts are read
-    whole whatever their length. Other columns are ignored; an empty table gives no rows.
+    whole whatever their length. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     schema, out = arrow_schema(f"doc_id {docs.schema[id_col].dataType.simpleString()}, start bigint, end bigint, kind string")
 
@@ -273,10 +292,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             if not hits:
                 continue
             at = pa.array([h[0] for h in hits])
-            spans = []
+            spans, last, chars = [], -1, None
             for i, a, b, _ in hits:
-                raw = col[i].as_py().encode()
-                spans.append((len(raw[:a].decode()), len(raw[:b].decode())))
+                if i != last:
+                    raw, last = np.frombuffer(col[i].as_buffer(), np.uint8), i
+                    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                spans.append((int(chars[a]), int(chars[b])))
             cols = [batch.column(0).take(at), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array([h[3] for h in hits])]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
@@ -284,10 +305,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every secret replaced by ``[kind]``; all rows and columns stay.
+    """``docs`` with every secret replaced by ``[kind]``; all rows and columns stay, in their order and types.
 
-    ``n_chars``, if there is such a column, is the new length of texts that were changed. Null texts
-    stay null.
+    ``n_chars``, if there is such a column, is the new length of texts that were changed. Null and empty texts
+    stay as they are, repeated rows are each redacted, texts are read whole whatever their length. Columns of any
+    other name pass through; an empty table stays empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
