@@ -22,6 +22,9 @@ LONGEST = 3
 TOP = 300
 #: documents farther than this from every language are rejected
 REJECT = 0.75
+#: or farther than this where the second language is nearly as near: by less than the margin
+DOUBT = 0.5
+MARGIN = 0.025
 UNKNOWN = "und"
 _BUFFER = 1 << 21
 
@@ -173,8 +176,8 @@ def identify(
     ``known`` is a ``profiles`` table; without it the rows of ``docs`` with a label make it.
     ``detected`` is the nearest language, ties by name, ``distance`` and ``runner_up`` the distances of
     the nearest and the second nearest (null if there is none), rounded to 6 places. A text without
-    letters (null, empty, digits only), or farther than ``reject`` from every language, is ``und`` and
-    rejected; without any profile every row is. Repeated rows and null ids give one result row each.
+    letters (null, empty, digits only), farther than ``reject`` from every language, or over ``DOUBT`` from all with two
+    of them less than ``MARGIN`` apart (a mixture, as a rule), is ``und`` and rejected; without any profile every row is. Repeated rows and null ids give one result row each.
     Texts of any length are read whole. Other columns are ignored.
     """
     df = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
@@ -224,7 +227,7 @@ def _identifier(docs, known, text, lang, longest, top, reject, out):
                 if len(names) > 1:
                     second[who] = dist[np.arange(len(who)), best[:, 1]]
                 detected[who] = np.array(names, object)[best[:, 0]]
-            bad = ~(near <= reject)
+            bad = ~(near <= reject) | (near > DOUBT) & (second - near < MARGIN)
             detected[bad] = UNKNOWN
             scores = [pa.array(np.floor(x * 1e6 + 0.5) / 1e6, from_pandas=True) for x in (near, second)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(detected, pa.string()), *scores, pa.array(bad)], schema=out)
@@ -235,19 +238,25 @@ def _identifier(docs, known, text, lang, longest, top, reject, out):
 def keep_identified(
     docs: DataFrame, known: DataFrame | None = None, text: str = "text", lang: str = "lang", longest: int = LONGEST, top: int = TOP, reject: float = REJECT
 ) -> DataFrame:
-    """``docs`` without the rows ``identify`` rejects; columns, order of columns and repeated rows unchanged."""
+    """``docs`` without the rows ``identify`` rejects, the detected language written in ``lang`` if that is a string column.
+
+    Columns, their order and repeated rows stay. Null and empty texts are rejected, texts are read whole, ids and
+    columns of any other name pass through; an empty table stays empty.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     inner = _identifier(docs, known, text, lang, longest, top, reject, pa.schema([("t", pa.string()), ("d", pa.string()), ("a", pa.float64()), ("b", pa.float64()), ("r", pa.bool_())]))
     at = docs.columns.index(text)
+    label = docs.columns.index(lang) if lang in docs.columns and docs.schema[lang].dataType.simpleString() == "string" else None
     out = to_arrow_schema(docs.schema)
 
     def run(batches):
         for batch in batches:
-            t = batch.column(at)
-            judged = next(iter(inner(iter([_Pair(t)]))))
-            kept = pc.invert(judged.column(4))
-            yield pa.RecordBatch.from_arrays(batch.columns, schema=out).filter(kept)
+            judged = next(iter(inner(iter([_Pair(batch.column(at))]))))
+            cols = list(batch.columns)
+            if label is not None:
+                cols[label] = judged.column(1).cast(out.field(label).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=out).filter(pc.invert(judged.column(4)))
 
     return docs.mapInArrow(run, docs.schema)
 
