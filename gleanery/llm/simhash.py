@@ -3,13 +3,13 @@
 Two 64-bit SimHashes are made of every text: one of its words, each weighted by how far its length
 exceeds two characters (short words are the common ones), and one of its word pairs. Two documents
 are near-duplicates when the first differ in at most ``radius`` bits and the second in at most
-``confirm`` bits. Pairs whose first signatures differ in more, up to ``REACH`` bits, count as well where
-they happen to share a table: about two in three of those at 7 bits and one in three at 8.
+``confirm`` bits.
 
 Candidates come from covering LSH: bit *i* gets a vector m(i) of ``radius + 1`` bits, and table *v*
 (every non-zero vector of as many bits) keeps exactly the bits with odd <m(i), v>. The at most
 ``radius`` differing bits span at most ``radius`` dimensions, so some *v* is orthogonal to all of
 them: each pair within the radius agrees in one of the ``2**(radius+1) - 1`` tables, with certainty.
+Tables 2k and 2k + 1 have a quarter of the bits in common; rows are shuffled by these, so one row serves both.
 
 64 bits are too few for copies that share 70-90 % of their word pairs. Two documents are near-duplicates
 as well when the min-hashes of their sets of word pairs say so: ``BANDS`` bands of ``ROWS`` min-hashes give the
@@ -25,14 +25,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import arrow_schema, components, flat, free_name, mix64, runs, slices
 from gleanery.scratch import drop_shared, write_shared
 
 RADIUS = 6
-REACH = 8
 CONFIRM = 18
 MIN_WORDS = 8
 CAP = 4
@@ -203,7 +203,7 @@ def node_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def _near(a1, a2, b1, b2, short, radius: int, confirm: int) -> np.ndarray:
     d1 = np.bitwise_count(a1 ^ b1)
     d2 = np.bitwise_count(a2 ^ b2)
-    return np.where(short, (d1 == 0) & (d2 == 0), (d1 <= max(radius, REACH)) & (d2 <= confirm))
+    return np.where(short, (d1 == 0) & (d2 == 0), (d1 <= radius) & (d2 <= confirm))
 
 
 def _alike(a, b) -> np.ndarray:
@@ -274,13 +274,15 @@ def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM,
     """Edges ``(a, b)`` between ``node`` values whose signatures or sketches match, a spanning forest of each bucket."""
     distinct = signed.where("words > 0").groupBy("node").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), (F.min("words") < min_words).alias("few"))
     covering = masks(radius)
-    kept_bits = F.array(*[F.lit(int(m)) for m in covering.view(np.int64)])
-    # one number for the table and the flag: a shuffled row is three numbers
+    # tables 1 and 1, 2 and 3, 4 and 5, ..: the bits that either keeps
+    left, right = covering[[0, *range(1, len(covering), 2)]], covering[[0, *range(2, len(covering), 2)]]
+    common = F.array(*[F.lit(int(m)) for m in (left & right).view(np.int64)])
+    # one number for the tables and the flag: a shuffled row is three numbers
     rows = distinct.select(
-        F.explode(F.sequence(F.lit(0), F.lit(len(covering) - 1))).alias("t"), "few", "h1", "h2"
+        F.explode(F.sequence(F.lit(0), F.lit(len(left) - 1))).alias("t"), "few", "h1", "h2"
     ).select((F.col("t") * 2 + F.col("few").cast("int")).alias("tf"), "h1", "h2")
     table = F.shiftright("tf", 1)
-    rows = rows.repartition(table, F.col("h1").bitwiseAND(F.element_at(kept_bits, table + 1)))
+    rows = rows.repartition(table, F.col("h1").bitwiseAND(F.element_at(common, table + 1)))
     schema, out = arrow_schema("a bigint, b bigint")
 
     def match(batches):
@@ -290,10 +292,11 @@ def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM,
         t = pa.Table.from_batches(got).combine_chunks()
         tf = t.column(0).to_numpy()
         h1, h2 = (t.column(i).to_numpy().view(np.uint64) for i in (1, 2))
-        key = mix64((h1 & covering[tf >> 1]) ^ mix64((tf >> 1).astype(np.uint64) + np.uint64(1)))
-        few = (tf & 1).astype(bool)
+        few, of, nodes = (tf & 1).astype(bool), tf >> 1, node_of(h1, h2)
         near = lambda i, j: _near(h1[i], h2[i], h1[j], h2[j], few[i] | few[j], radius, confirm)
-        yield from _edge_batches(*bucket_edges(key, node_of(h1, h2), near), out)
+        for kept in (left, right):
+            key = mix64((h1 & kept[of]) ^ mix64(of.astype(np.uint64) + np.uint64(1)))
+            yield from _edge_batches(*bucket_edges(key, nodes, near), out)
 
     return rows.mapInArrow(match, schema).unionByName(sketch_edges(signed, min_words))
 
@@ -331,16 +334,34 @@ def sketch_edges(signed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return distinct.mapInArrow(spread, schema).repartition("key").mapInArrow(match, schema2)
 
 
-def _linked(docs: DataFrame, id_col: str, text: str, radius: int, confirm: int, min_words: int) -> tuple[DataFrame, str]:
-    """``doc_id row words root`` of every row, written in the shared folder; wordless rows have no root."""
+#: bitmaps of 4 KB that are broadcast at a time
+BITMAPS = 16384
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows that can be told apart by (hash of the file's path, position in it); what isn't a Parquet scan is written first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at.getField("row_index"))
+    except (AnalysisException, AttributeError):
+        docs, _ = write_shared(docs, "simhash-rows")
+        at = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(at.getField("file_path")), at.getField("row_index")
+
+
+def _linked(docs: DataFrame, id_col: str, text: str, radius: int, confirm: int, min_words: int, file: Column, pos: Column) -> tuple[DataFrame, str]:
+    """``doc_id row file pos words root`` of every row, written in the shared folder; wordless rows have no root."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    signed, path = write_shared(sign(docs, text, [F.col(f"`{id_col}`").alias("doc_id"), row.alias("row")]), "simhash")
-    linked = components(near_edges(signed, radius, confirm, min_words))
+    keep = [F.col(f"`{id_col}`").alias("doc_id"), row.alias("row"), file.alias("file"), pos.alias("pos")]
+    signed, path = write_shared(sign(docs, text, keep), "simhash")
+    edges, edge_path = write_shared(near_edges(signed, radius, confirm, min_words), "simhash-edges")
+    linked = components(edges)
     flagged = signed.join(linked, "node", "left").select(
-        "doc_id", "row", "words", F.when(F.col("words") > 0, F.coalesce("root", "node")).alias("root")
+        "doc_id", "row", "file", "pos", "words", F.when(F.col("words") > 0, F.coalesce("root", "node")).alias("root")
     )
     flagged, flagged_path = write_shared(flagged, "simhash-roots")
-    drop_shared(docs.sparkSession, path)
+    for p in (path, edge_path):
+        drop_shared(docs.sparkSession, p)
     return flagged, flagged_path
 
 
@@ -350,27 +371,24 @@ def groups(
     """Every row of ``docs`` as ``(doc_id, group_id, group_size, kept)``.
 
     ``group_id`` is the least id in the row's group; ``kept`` marks one row of each group, the least
-    by (id with nulls last, hash of the row). Rows without any word (null, empty, punctuation only)
+    by (id with nulls last, hash of the row, place). Rows without any word (null, empty, punctuation only)
     are each a group of their own and are kept, their ``group_id`` being their own id. Texts of fewer
     than ``min_words`` words match only those with equal signatures. ``radius`` and ``confirm`` are of the SimHashes;
-    pairs of like min-hashes match besides. Repeated rows are one group.
-    Other columns only break ties. An empty table gives an empty result.
+    pairs of like min-hashes match besides. Repeated rows are one group. Texts are read whole.
+    Other columns, whatever their names, only break ties. An empty table gives an empty result.
     """
-    flagged, _ = _linked(docs, id_col, text, radius, confirm, min_words)
+    docs, file, pos = _placed(docs)
+    flagged, _ = _linked(docs, id_col, text, radius, confirm, min_words, file, pos)
     real, bare = flagged.where("words > 0"), flagged.where("words = 0")
     head = real.groupBy("root").agg(F.min(_order()).alias("head"), F.count(F.lit(1)).alias("group_size"))
-    out = real.join(head, "root")
-    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row") == F.col("head.row"))
-    out = out.select("doc_id", F.col("head.doc_id").alias("group_id"), "group_size", is_head.alias("first"), "root")
-    # equal rows can't be told apart: one of them is numbered 1
-    firsts = out.where("first").withColumn("kept", F.row_number().over(Window.partitionBy("root").orderBy("doc_id")) == 1)
-    cols = ["doc_id", "group_id", "group_size", "kept"]
+    is_head = (F.col("file") == F.col("head.file")) & (F.col("pos") == F.col("head.pos"))
+    out = real.join(head, "root").select("doc_id", F.col("head.doc_id").alias("group_id"), "group_size", is_head.alias("kept"))
     alone = bare.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
-    return out.where("NOT first").withColumn("kept", F.lit(False)).select(cols).unionByName(firsts.select(cols)).unionByName(alone)
+    return out.unionByName(alone)
 
 
 def _order():
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "pos")
 
 
 def deduplicate(
@@ -378,24 +396,35 @@ def deduplicate(
 ) -> DataFrame:
     """``docs`` with one row of every near-duplicate group (see ``groups`` for which), columns unchanged.
 
-    Rows without any word all stay. Rows equal in every column count as copies.
+    Rows without any word (null, empty, punctuation only) all stay. Rows equal in every column count as copies.
+    Columns of any name pass through; an empty table stays empty.
+
+    The texts aren't shuffled. What goes is marked in bitmaps of 32,768 rows of a file each, and the files are read
+    again beside the bitmaps of at most about ``BITMAPS`` of these at a time (64 MB), which are broadcast.
     """
-    flagged, path = _linked(docs, id_col, text, radius, confirm, min_words)
+    docs, file, pos = _placed(docs)
+    flagged, path = _linked(docs, id_col, text, radius, confirm, min_words, file, pos)
     real = flagged.where("words > 0")
     head = real.groupBy("root").agg(F.min(_order()).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    name = free_name(docs, "_row")
-    # by row hash: rows to drop, and heads that occur more than once
-    marks = (
-        real.join(head, "root")
-        .groupBy(F.col("row").alias(name), (F.col("row") == F.col("head.row")).alias("first"))
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    gone = real.join(head, "root").where("file <> head.file OR pos <> head.pos")
+    place = F.col("pos") + 1
+    marks = gone.groupBy("file", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     marks, _ = write_shared(marks, "simhash-marks")
     drop_shared(docs.sparkSession, path)
-    keyed = docs.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    # merged by key whatever the number of marks: a plan that broadcasts a small table changes with its size
-    stay = keyed.join(marks.where("NOT first OR times > 1").select(name).hint("merge"), name, "left_anti")
-    if marks.where("first AND times > 1").isEmpty():
-        return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = keyed.join(marks.where("first AND times > 1").select(name).hint("merge"), name, "left_semi").dropDuplicates([name])
-    return stay.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = max(1, -(-marks.count() // BITMAPS))
+    names = [free_name(docs, n) for n in ("_file", "_bucket", "_bits", "_at")]
+    marks = marks.select(F.col("file").alias(names[0]), F.col("bucket").alias(names[1]), F.col("bits").alias(names[2]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    placed = docs.select(*own, file.alias(names[0]), F.bitmap_bucket_number(pos + 1).alias(names[1]), F.bitmap_bit_position(pos + 1).alias(names[3]))
+    byte = F.substring(F.col(names[2]), F.lit(1) + (F.col(names[3]) / 8).cast("int"), F.lit(1))
+    marked = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, cast(`{names[3]}` % 8 as int))")) > 0
+    kept = []
+    for part in range(parts):
+        mine, theirs = placed, marks
+        if parts > 1:
+            mine, theirs = (x.where(F.pmod(F.col(names[0]), F.lit(parts)) == part) for x in (placed, marks))
+        kept.append(mine.join(F.broadcast(theirs), names[:2], "left").where(F.coalesce(~marked, F.lit(True))).select(*own))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
