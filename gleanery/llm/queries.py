@@ -55,7 +55,7 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.shards(_table(spark, sf_dir, "documents"))
+    return rans.token_shards(_table(spark, sf_dir, "documents"))
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +142,13 @@ ORACLE = {
         ),
         o AS (SELECT r, lang, dist, row_number() OVER (PARTITION BY r ORDER BY dist, lang) AS nth FROM s),
         b AS (SELECT r, max(lang) FILTER (nth = 1) AS lang, max(dist) FILTER (nth = 1) AS near, max(dist) FILTER (nth = 2) AS second FROM o GROUP BY r)
-        SELECT n.doc_id, CASE WHEN near <= {langid.REJECT} THEN b.lang ELSE '{langid.UNKNOWN}' END AS detected,
-            floor(near * 1e6 + 0.5) / 1e6 AS distance, floor(second * 1e6 + 0.5) / 1e6 AS runner_up, NOT coalesce(near <= {langid.REJECT}, false) AS rejected
-        FROM n LEFT JOIN b USING (r)
+        SELECT doc_id, CASE WHEN fits THEN lang ELSE '{langid.UNKNOWN}' END AS detected,
+            floor(near * 1e6 + 0.5) / 1e6 AS distance, floor(second * 1e6 + 0.5) / 1e6 AS runner_up, NOT fits AS rejected
+        FROM (
+            SELECT n.doc_id, b.lang, near, second,
+                coalesce(near <= {langid.REJECT}, false) AND NOT coalesce(near > {langid.DOUBT} AND second - near < {langid.MARGIN}::DOUBLE, false) AS fits
+            FROM n LEFT JOIN b USING (r)
+        )
     """,
     "op7_perspectives": """
         WITH t AS (

@@ -1,10 +1,10 @@
 """Token shards in a static range asymmetric numeral system (rANS).
 
-All documents share one frequency table, counted over all of them. Token ids are the bytes of the UTF-8
-text, or those of an array column, and every document ends with one end id. Documents are laid one
-after the other and cut into blocks of ``BLOCK`` ids. In a block ``LANES`` coders are interleaved, id *i* being
-lane *i mod LANES*'s, each with a 64-bit state that sheds 32-bit words. All lanes of all blocks of a
-batch take their steps together, as one vector.
+Texts become token ids by a public byte-level vocabulary (``tokens``), or an array column of ids is taken as it is.
+All documents share one frequency table, counted over all of them and written once. Every document ends with an end
+mark. Documents are laid one after the other and cut into blocks of ``BLOCK`` ids. In a block ``LANES`` coders are
+interleaved, id *i* being lane *i mod LANES*'s, each with a 64-bit state that sheds 32-bit words. All lanes of all
+blocks of a batch take their steps together, as one vector.
 
 Every ``CHECKPOINT`` ids the block records the lanes' states and the place in its words, so segments decode
 independently and in parallel; each segment has a CRC-32 of its ids and the block one of its words.
@@ -12,6 +12,7 @@ independently and in parallel; each segment has a CRC-32 of its ids and the bloc
 
 from __future__ import annotations
 
+import base64
 import zlib
 
 import numpy as np
@@ -21,13 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import arrow_schema, flat
+from gleanery.scratch import write_shared
 
 BLOCK = 65536
 LANES = 64
 CHECKPOINT = 16384
 BITS = 16
-#: the end id after bytes 0..255
-END = 256
+#: the mark after every document and the one for a null in an array: no ids, so none can clash with them
+END = -(1 << 62)
+NULL = END + 1
+#: ranks of a byte-level vocabulary, and how it cuts texts into words
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'(?:[sdmt]|ll|re|ve)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: smaller ids are looked up in a dense table
+_DENSE = 1 << 20
 #: ids coded as one vector of steps
 GROUP = 1 << 22
 _LOW = np.uint64(1 << 32)
@@ -111,80 +119,149 @@ def decode(words: np.ndarray, states: np.ndarray, n: int, freq: np.ndarray, bits
     return np.concatenate(out)[:n] if out else np.zeros(0, np.int64)
 
 
-def _ids(col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with an end id after every row, start of every row). Nulls are empty."""
+def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with an end mark after every row, start of every row). Null rows are empty."""
     if pa.types.is_list(col.type):
-        size = np.nan_to_num(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-        data = col.flatten().to_numpy(zero_copy_only=False)
+        size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = pc.fill_null(col.flatten().cast(pa.int64()), NULL).to_numpy(zero_copy_only=False)
         offsets = np.concatenate(([0], np.cumsum(size)))
     else:
         data, offsets = flat(col)
     rows = len(offsets) - 1
-    out = np.full(len(data) + rows, end, np.int32)
+    out = np.full(len(data) + rows, END, np.int64)
     out[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets))] = data
     return out, offsets[:-1] + np.arange(rows)
 
 
-def table(docs: DataFrame, text: str = "text", end: int = END, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, int]:
-    """The shared frequency table of all rows: a few numbers for each id, whatever the table's size."""
-    schema, out = arrow_schema("id int, n bigint")
+_CODERS: dict[bytes, object] = {}
+
+
+def _coder(ranks: bytes):
+    """The tokenizer of a ranks file's bytes, made once in a worker."""
+    import tiktoken
+
+    if ranks not in _CODERS:
+        pairs = (line.split() for line in ranks.splitlines() if line)
+        _CODERS[ranks] = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    return _CODERS[ranks]
+
+
+def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, ids ARRAY<INT>)`` of every row: its whole text's token ids, none for a null or empty text.
+
+    ``vocabulary`` is a ranks file that the driver reads; its bytes, whose number doesn't depend on the table, go to
+    the workers. The strings of special tokens are ordinary text. The ids' bytes put together are the text's. Null
+    ids, repeated rows and ids are kept as they are; other columns are ignored.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    schema, out = arrow_schema(f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+    def run(batches):
+        coder = _coder(ranks.value)
+        for batch in batches:
+            ids = [np.asarray(coder.encode_ordinary(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=out)
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+
+
+def token_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``shards`` of the ``tokens`` of ``docs``, which are made once."""
+    made, _ = write_shared(tokens(docs, id_col, text, vocabulary), "tokens")
+    return shards(made, "doc_id", "ids")
+
+
+def table(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """The shared frequency table of all rows, None if there are none: a few numbers for each id, whatever the table's size."""
+    schema, out = arrow_schema("id bigint, n bigint")
 
     def count(batches):
-        total = np.zeros(0, np.int64)
+        total, rare = np.zeros(_DENSE, np.int64), {}
         for batch in batches:
-            ids, _ = _ids(batch.column(0), end)
-            n = np.bincount(ids, minlength=len(total))
-            n[: len(total)] += total
-            total = n
+            ids, _ = _ids(batch.column(0))
+            low = (ids >= 0) & (ids < _DENSE)
+            n = np.bincount(ids[low])
+            total[: len(n)] += n
+            for i, k in zip(*np.unique(ids[~low], return_counts=True)):
+                rare[int(i)] = rare.get(int(i), 0) + int(k)
         seen = np.flatnonzero(total)
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=out)
+        if len(seen) or rare:
+            cols = [np.concatenate((seen, np.array(list(rare), np.int64))), np.concatenate((total[seen], np.array(list(rare.values()), np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
 
     got = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, schema).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    return frequencies(dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())), bits)
+    return frequencies(dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())), bits) if got.num_rows else None
 
 
 BLOCK_COLUMNS = (
     "stream bigint, block int, n_ids int, doc_ids array<{id}>, doc_starts array<int>, words binary, word_crc bigint, "
-    "states binary, places array<int>, id_crcs array<bigint>, table_ids binary, table_freqs binary, bits int"
+    "states binary, places array<int>, id_crcs array<bigint>, table_crc bigint"
 )
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", end: int = END, bits: int = BITS, group: int = GROUP) -> DataFrame:
-    """All rows of ``docs`` as coded blocks, one row a block.
+def _packed(ids: np.ndarray, freq: np.ndarray, bits: int) -> bytes:
+    return np.uint32(bits).tobytes() + np.uint32(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + freq.astype(np.uint32).tobytes()
+
+
+def read_table(row) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, frequencies, bits) of the table row of a shard set, checked."""
+    raw = row["words"]
+    if zlib.crc32(raw) != row["table_crc"]:
+        raise ValueError("the table fails its checksum")
+    bits, n = np.frombuffer(raw, np.uint32, 2).tolist()
+    return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.uint64), bits
+
+
+def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS, group: int = GROUP) -> DataFrame:
+    """All rows of ``docs`` as coded blocks, one row a block, and one row (stream and block -1) with the table.
 
     A stream is a run of rows that lie together; its blocks in order hold their ids. ``doc_ids`` are the
     documents that start in the block and ``doc_starts`` where; one that runs on fills the next blocks
     from 0. ``words`` is the code, ``states`` (a state of 8 bytes for each lane) and ``places`` (into the
-    words) say where each segment of ``CHECKPOINT`` ids begins, ``id_crcs`` check its ids (as 32-bit
-    numbers), ``word_crc`` the words. Each block carries the shared table, so it is read on its own.
-    ``text`` may be a string column or an array of ids below ``end``; null texts and ids are empty
-    documents, and an empty document is its end id alone. Repeated rows and null ids are kept in place.
-    Other columns are ignored; an empty table gives no rows.
+    words) say where each segment of ``CHECKPOINT`` ids begins, ``id_crcs`` check its ids (as 64-bit
+    numbers), ``word_crc`` the words. The table row's ``words`` are the shared table (``read_table``); every block
+    names it by ``table_crc``.
+    ``text`` may be a string column, whose UTF-8 bytes are the ids, or an array of integers, negative ones included;
+    nulls in an array are coded as ``NULL``. Null texts are empty documents, and an empty document is its end mark
+    ``END`` alone. Repeated rows and null ids are kept in place. Other columns are ignored; an empty table gives no rows.
     """
-    ids, freq, bits = table(docs, text, end, bits)
-    lookup = np.full(int(max(ids.max(), end)) + 1, -1, np.int32)
-    lookup[ids] = np.arange(len(ids))
     schema, out = arrow_schema(BLOCK_COLUMNS.format(id=docs.schema[id_col].dataType.simpleString()))
-    shared = docs.sparkSession.sparkContext.broadcast((ids.astype(np.uint32), freq, lookup))
+    spark = docs.sparkSession
+    made = table(docs, text, bits)
+    if made is None:
+        return spark.createDataFrame([], schema)
+    ids, freq, bits = made
+    packed = _packed(ids, freq, bits)
+    crc = zlib.crc32(packed)
+    low = (ids >= 0) & (ids < _DENSE)
+    lookup = np.full(int(ids[low].max()) + 1 if low.any() else 1, -1, np.int32)
+    lookup[ids[low]] = np.flatnonzero(low)
+    shared = spark.sparkContext.broadcast((ids, freq, lookup))
 
     def run(batches):
         from pyspark import TaskContext
 
         ids, freq, lookup = shared.value
         stream = TaskContext.get().partitionId() << 32
-        kept = (ids.tobytes(), freq.astype(np.uint32).tobytes(), bits)
         for batch in batches:
             text = batch.column(1)
             at = 0
             while at < batch.num_rows:
                 count = _upto(text.slice(at), group)
-                tokens, starts = _ids(text.slice(at, count), end)
-                yield from _rows(tokens, starts, batch.column(0).slice(at, count), stream, lookup, freq, bits, kept, out)
+                found, starts = _ids(text.slice(at, count))
+                low = (found >= 0) & (found < len(lookup))
+                sym = lookup[np.where(low, found, 0)]
+                sym[~low] = np.searchsorted(ids, found[~low])
+                yield from _rows(found, sym, starts, batch.column(0).slice(at, count), stream, freq, bits, crc, out)
                 stream += 1
                 at += count
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    head = [(-1, -1, len(ids), [], [], bytearray(packed), crc, bytearray(), [], [], crc)]
+    return spark.createDataFrame(head, schema).unionByName(blocks)
 
 
 def _upto(col: pa.Array, most: int) -> int:
@@ -194,8 +271,7 @@ def _upto(col: pa.Array, most: int) -> int:
     return max(1, int(np.searchsorted(ends, most, "right")))
 
 
-def _rows(tokens, starts, doc_ids, stream, lookup, freq, bits, kept, out):
-    sym = lookup[tokens]
+def _rows(found, sym, starts, doc_ids, stream, freq, bits, crc, out):
     n = len(sym)
     whole = n // BLOCK
     coded = []
@@ -209,31 +285,42 @@ def _rows(tokens, starts, doc_ids, stream, lookup, freq, bits, kept, out):
         coded += encode(np.concatenate((sym[whole * BLOCK :], fill))[None, :], freq, bits)
     cut = np.searchsorted(starts, np.arange(len(coded) + 1) * BLOCK)
     for i, (words, states, places) in enumerate(coded):
-        mine = tokens[i * BLOCK : (i + 1) * BLOCK]
-        crcs = [zlib.crc32(mine[c : c + CHECKPOINT].astype(np.uint32).tobytes()) for c in range(0, len(mine), CHECKPOINT)]
+        mine = found[i * BLOCK : (i + 1) * BLOCK]
+        crcs = [zlib.crc32(mine[c : c + CHECKPOINT].tobytes()) for c in range(0, len(mine), CHECKPOINT)]
         code = words.tobytes()
         a, b = cut[i], cut[i + 1]
         cols = [
             [stream], [i], [len(mine)], [doc_ids.slice(a, b - a).to_pylist()], [(starts[a:b] - i * BLOCK).tolist()], [code], [zlib.crc32(code)],
-            [states.tobytes()], [places.tolist()], [crcs], [kept[0]], [kept[1]], [kept[2]],
+            [states.tobytes()], [places.tolist()], [crcs], [crc],
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
 
-def read_segment(row, segment: int) -> np.ndarray:
-    """The ids of one segment of a block row, checked against its checksum."""
-    ids, freq = np.frombuffer(row["table_ids"], np.uint32), np.frombuffer(row["table_freqs"], np.uint32).astype(np.uint64)
+def read_segment(row, segment: int, shared: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """The ids of one segment of a block row by the ``read_table`` of its shard set, checked against its checksum."""
+    ids, freq, bits = shared
     states = np.frombuffer(row["states"], np.uint64).reshape(-1, LANES)
     words = np.frombuffer(row["words"], np.uint32)
     n = min(CHECKPOINT, row["n_ids"] - segment * CHECKPOINT)
-    got = ids[decode(words[row["places"][segment] :], states[segment], n, freq, row["bits"])]
+    got = ids[decode(words[row["places"][segment] :], states[segment], n, freq, bits)]
     if zlib.crc32(got.tobytes()) != row["id_crcs"][segment]:
         raise ValueError(f"segment {segment} of block {row['block']} fails its checksum")
     return got
 
 
-def read_block(row) -> np.ndarray:
+def read_block(row, shared: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The ids of a block row, checked."""
     if zlib.crc32(row["words"]) != row["word_crc"]:
         raise ValueError(f"block {row['block']} fails its checksum")
-    return np.concatenate([read_segment(row, i) for i in range(len(row["places"]))])
+    return np.concatenate([read_segment(row, i, shared) for i in range(len(row["places"]))])
+
+
+def read_documents(rows) -> list[tuple[object, np.ndarray]]:
+    """(document, ids without the end mark) of all documents of a shard set's collected rows, in order."""
+    shared = next((read_table(r) for r in rows if r["block"] < 0), None)
+    blocks = sorted((r for r in rows if r["block"] >= 0), key=lambda r: (r["stream"], r["block"]))
+    if not blocks:
+        return []
+    ids = np.concatenate([read_block(r, shared) for r in blocks])
+    parts = np.split(ids, np.flatnonzero(ids == END) + 1)[:-1]
+    return list(zip((i for r in blocks for i in r["doc_ids"]), (p[:-1] for p in parts)))
