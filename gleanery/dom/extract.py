@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gleanery.columns import HTML, ITEM, PAGE_URL
 from gleanery.dom import css, xpath
 from gleanery.dom.labels import label_map, normal
 from gleanery.dom.markdown import Markdown
@@ -80,7 +81,7 @@ def _distinct(fields: tuple[Field, ...]) -> tuple[Field, ...]:
 
 
 def extract(pages: DataFrame, fields: tuple[Field, ...], selector: str | None, keep: tuple[str, ...] = (), url: str = "url", html: str = "html") -> DataFrame:
-    """``keep``, ``page_url``, ``item_ord`` and the fields of every item of every page, each page parsed once.
+    """``keep``, the page's address, the item's place in it and the fields of every item of every page, each page parsed once.
 
     ``selector`` None takes the whole page as one item. Null HTML has no items. Items of no field have their
     order alone.
@@ -88,15 +89,15 @@ def extract(pages: DataFrame, fields: tuple[Field, ...], selector: str | None, k
     fields = _distinct(fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    df = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").alias("page_url"), F.col(f"`{html}`").alias("_html"))
+    df = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").alias(PAGE_URL), F.col(f"`{html}`").alias(HTML))
     kinds = [T.StructField(f.name, T.ArrayType(T.StringType()) if f.multiple else T.StringType()) for f in fields]
-    schema = T.StructType([*df.drop("_html").schema.fields, T.StructField("item_ord", T.LongType()), *kinds])
+    schema = T.StructType([*df.drop(HTML).schema.fields, T.StructField(ITEM, T.LongType()), *kinds])
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places, values = [], [], [[] for _ in fields]
-            urls, texts = batch.column("page_url").to_pylist(), batch.column("_html")
+            urls, texts = batch.column(PAGE_URL).to_pylist(), batch.column(HTML)
             for i, page in enumerate(urls):
                 text = texts[i].as_py()
                 if text is None:
@@ -107,7 +108,7 @@ def extract(pages: DataFrame, fields: tuple[Field, ...], selector: str | None, k
                     places.append(at)
                     for column, v in zip(values, record(node, fields, page)):
                         column.append(v)
-            kept = batch.drop_columns(["_html"]).take(pa.array(rows, pa.int64()))
+            kept = batch.drop_columns([HTML]).take(pa.array(rows, pa.int64()))
             columns = [pa.array(v, out.field(f.name).type) for v, f in zip(values, fields)]
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.int64()), *columns], schema=out)
 

@@ -46,10 +46,28 @@ def to_bool(c: Column) -> Column:
 _SCALAR = {"string": to_string, "int": to_int, "float": to_float, "bool": to_bool}
 
 
-def coerce(c: Column, kind: str, is_array: bool = False) -> Column:
-    """``c`` as the declared type; an unknown type leaves it as it is. ``is_array``: whether it is a list now."""
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _number(c: Column, kind: str) -> Column:
+    """A column of numbers as another type of number, or whether it is 1: its text, which may have an exponent, doesn't count."""
+    if kind == "int":
+        return F.when(c.isNotNull(), F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return c.cast("double") if kind == "float" else c == 1
+
+
+def coerce(c: Column, kind: str, is_array: bool = False, now: str = "string") -> Column:
+    """``c`` as the declared type; an unknown type leaves it as it is. ``is_array``: whether it is a list, ``now``: its type.
+
+    A number becomes an integer by leaving its fraction out.
+    """
+    if kind in ("int", "float", "bool") and now.split("(")[0] in _NUMBERS:
+        return _number(c, kind)
     if kind.endswith("[]"):
         one = _SCALAR.get(kind[:-2])
+        inner = now[6:-1] if now.startswith("array<") else now
+        if kind[:-2] in ("int", "float", "bool") and inner.split("(")[0] in _NUMBERS:
+            one = lambda v: _number(v, kind[:-2])
         if one is None:
             return c
         items = c if is_array else F.when(c.isNotNull(), F.array(c))

@@ -160,11 +160,6 @@ def is_hosted_shop(html: Column) -> Column:
     return _any(F.lower(html), _SHOP_MARKS.split("|"))
 
 
-def escalation(vendor: Column, ladder: Column) -> Column:
-    """What is left of a transport ladder once a vendor is known: plain requests are no use against one."""
-    return F.when(vendor.isNull(), ladder).otherwise(F.filter(ladder, lambda t: t != "http"))
-
-
 def image_kind(data: Column) -> Column:
     """File extension of image bytes."""
     head = F.hex(F.substring(data, 1, 12))

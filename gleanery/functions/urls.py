@@ -7,6 +7,7 @@ Relative links are resolved by plain rules, not by RFC 3986: empty segments and
 from __future__ import annotations
 
 import re
+from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ _ABSOLUTE = r"(?i)^https?://"
 _SCHEME = r"(?i)^[a-z][-+.0-9a-z]*://"
 _BASE = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)"
 _BASE_PY = re.compile(_BASE)
+#: parameters that say which page a request asked for
+PAGING = ("page", "pagina", "offset", "start", "from")
+#: build files of site generators and web manifests: lists of records that are no data
+_BUILD_FILE = r"(?i)/(?:page-data|_next/data)/|/app-data\.json(?:\?|$)|manifest\.(?:webmanifest|json)(?:\?|$)"
 
 
 def strip(c: Column) -> Column:
@@ -69,7 +74,7 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
-def without_page_params(url: Column, names: tuple[str, ...] = ("page", "p", "pg", "pagina", "offset", "start", "from", "skip")) -> Column:
+def without_page_params(url: Column, names: tuple[str, ...] = PAGING) -> Column:
     """The URL without its paging parameters."""
     pattern = "(?i)([?&])(?:" + "|".join(names) + ")=[^&#]*"
     cut = F.regexp_replace(url, pattern, "$1")
@@ -77,6 +82,11 @@ def without_page_params(url: Column, names: tuple[str, ...] = ("page", "p", "pg"
     return F.regexp_replace(cut, "[?&]+(#|$)", "$1")
 
 
+def discardable(url: Column) -> Column:
+    """Whether an address is no data endpoint though it may return records: a build file or a manifest."""
+    return F.coalesce(url.rlike(_BUILD_FILE), F.lit(False))
+
+
 def source_url(base: Column, suffix: Column) -> Column:
     """Address of an HTML source: its suffix put on the base as a query or as a path."""
     s = strip(F.coalesce(suffix, F.lit("")))
@@ -98,6 +108,29 @@ def endpoint_url(endpoint: Column, suffix: Column) -> Column:
 # the same in Python, for links inside a tree
 
 
+def discardable_py(url: str) -> bool:
+    return re.search(_BUILD_FILE, url) is not None
+
+
+def without_page_params_py(url: str) -> str:
+    cut = re.sub(rf"(?i)([?&])(?:{'|'.join(PAGING)})=[^&#]*", r"\1", url)
+    cut = re.sub(r"\?&", "?", re.sub("&{2,}", "&", cut))
+    return re.sub("[?&]+(#|$)", r"\1", cut)
+
+
+def paging_py(endpoint: str) -> dict:
+    """How an endpoint pages, as settings of an API: by numbers at the end of its path, by offset where its query has a
+    limit, else by ``page`` and ``size``."""
+    m = re.fullmatch(r"(.*)/(\d+)/(\d+)/?", endpoint)
+    if m:
+        return {"endpoint": m[1] + "/{page}/{page_size}", "start_page": int(m[2]), "page_size": int(m[3])}
+    query = dict(parse_qsl(urlsplit(endpoint).query))
+    m = re.match(r"\d+", query.get("limit", ""))
+    if m and int(m[0]) > 0 and "page" not in query:
+        return {"endpoint": endpoint, "page_param": "offset", "page_size": int(m[0])}
+    return {"endpoint": endpoint, "page_param": "page", "page_size_param": "size", "page_size": 100}
+
+
 def normalize_py(url: str) -> str:
     url = url.strip(_SPACE)
     if not url:
@@ -141,6 +174,6 @@ def absolute_py(base: str | None, link: str | None) -> str | None:
 
 
 __all__ = [
-    "absolute", "absolute_py", "endpoint_url", "fetchable", "fetchable_py", "host", "host_py", "normalize", "normalize_py", "source_url", "strip",
-    "without_page_params",
+    "PAGING", "absolute", "absolute_py", "discardable", "discardable_py", "endpoint_url", "fetchable", "fetchable_py", "host", "host_py", "normalize", "normalize_py", "paging_py", "source_url", "strip",
+    "without_page_params", "without_page_params_py",
 ]

@@ -1,4 +1,4 @@
-"""Item pipeline: named steps from DataFrame to DataFrame. ``page_url`` is the page that an item came from."""
+"""Item pipeline: named steps from DataFrame to DataFrame. ``columns.PAGE_URL`` is the page that an item came from."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.columns import INNER, PAGE_URL
 from gleanery.functions.coerce import coerce
 from gleanery.functions.text import squash
 from gleanery.functions.urls import absolute
 
 Step = Callable[[DataFrame], DataFrame]
-PAGE_URL = "page_url"
 _URLS = frozenset("all_images detail_image gallery_images href image images link src url".split())
-_INNER = frozenset(("source_ord", "page_ord", "item_ord", PAGE_URL))
 
 
 def _change(df: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
@@ -23,7 +22,7 @@ def _change(df: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
 
 def trim(df: DataFrame) -> DataFrame:
     """Whitespace squashed in every string column; lists are left alone."""
-    return _change(df, {n: squash(F.col(f"`{n}`")) for n, t in df.dtypes if t == "string" and n not in _INNER})
+    return _change(df, {n: squash(F.col(f"`{n}`")) for n, t in df.dtypes if t == "string" and n not in INNER})
 
 
 def absolute_urls(df: DataFrame, image_prefix: str | None = None) -> DataFrame:
@@ -50,7 +49,7 @@ def absolute_urls(df: DataFrame, image_prefix: str | None = None) -> DataFrame:
 def coerced(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     """Columns of ``schema`` as their declared types; columns that aren't there are passed over."""
     kinds = dict(df.dtypes)
-    return _change(df, {n: coerce(F.col(f"`{n}`"), t, kinds[n].startswith("array")) for n, t in schema.items() if n in kinds})
+    return _change(df, {n: coerce(F.col(f"`{n}`"), t, kinds[n].startswith("array"), kinds[n]) for n, t in schema.items() if n in kinds})
 
 
 def build(names: tuple[str, ...], schema: Mapping[str, str], image_prefix: str | None = None, registry: Mapping[str, Step] | None = None) -> list[Step]:

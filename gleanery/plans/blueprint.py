@@ -6,6 +6,10 @@ import json
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from gleanery.columns import MARK
+
+FIELD_TYPES = ("css", "xpath", "json", "markdown")
+
 
 def _int(v: Any, default: int = 0, least: int | None = 0) -> int:
     try:
@@ -32,7 +36,7 @@ class Field:
         kind = str(d.get("type") or "css")
         return cls(
             str(d.get("name") or ""), str(d.get("css") or d.get("path") or ""), d.get("attribute"), d.get("regex"), bool(d.get("multiple")), d.get("label"),
-            kind if kind in ("css", "xpath", "json", "markdown") else "css",
+            kind if kind in FIELD_TYPES else "css",
         )
 
     def to_dict(self) -> dict:
@@ -354,6 +358,10 @@ class Blueprint:
             elif f.name in names:
                 odd.append(f"field {f.name!r} is defined twice; the later one counts")
             names.add(f.name)
+            if f.name.startswith(MARK):
+                bad.append(f"field {f.name!r} begins with {MARK!r}, which the engine keeps for itself")
+            if f.type and f.type not in FIELD_TYPES:
+                bad.append(f"field {f.name!r} has the unknown type {f.type!r}")
             if not f.css and not f.label and f.type not in ("json", "markdown"):
                 odd.append(f"field {f.name!r} has no selector")
         bad += [f"detail_fields[{i}] has no name" for i, f in enumerate(self.detail_fields) if not f.name]

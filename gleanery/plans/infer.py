@@ -9,7 +9,7 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -20,6 +20,7 @@ from gleanery.dom.tree import Node, parse
 from gleanery.functions.heuristics import image_score_py, link_score_py
 from gleanery.functions.text import field_name_py
 from gleanery.plans.blueprint import Api, Blueprint, Field, Pagination
+from gleanery.plans.presets import GENERIC, Preset
 
 _PLAIN = frozenset(
     """absolute block box-content fixed flex flex-col flex-row grid group h-auto h-full hidden inline items-center
@@ -35,11 +36,10 @@ _LISTS = "ul.pagination|.pagination|.paginacao|.paginator|.paging|nav .page-numb
 _NEXT = "a[rel=next]|a.next|li.next a|.next > a|.pager .next a|.pagination .next a".split("|")
 _MORE = "#btn_carregarMais|[id*=carregarMais]|[id*=carregar-mais]|button.load-more|a.load-more|.load-more|[data-load-more]|button[id*=loadMore]".split("|")
 _LAZY = "data-src data-original data-lazy-src".split()
-_PRICE = r"/(?:£|€|[RU]?S?\$)\s*[,.\d]+/"
 _BACKGROUND = r"""#background-image\s*:\s*url\(["']?([^"')]+)["']?\)#i"""
 _STARS = re.compile(r"\b\d+(?:\.\d+)?\s*(?:stars?|out\s+of\s+[0-9]|/\s*(?:10|5))\b", re.I)
 _RATED = "data-average data-rate data-rating data-score data-stars".split()
-CORE = ("image", "link", "title")
+CORE = GENERIC.core
 
 
 def signature(n: Node) -> str:
@@ -145,7 +145,7 @@ def _image(s: Node) -> Field | None:
     return Field("image", stable_css(best[1]), best[2], _BACKGROUND if best[2] == "style" else None) if best else None
 
 
-def _price(s: Node, literals: tuple[str, ...] = (_PRICE,)) -> Field | None:
+def _price(s: Node, literals: tuple[str, ...] = GENERIC.prices) -> Field | None:
     from gleanery.functions.text import pattern
 
     known = [(p, re.compile(pattern(p))) for p in literals if pattern(p)]
@@ -157,7 +157,7 @@ def _price(s: Node, literals: tuple[str, ...] = (_PRICE,)) -> Field | None:
     return None
 
 
-def _rating(s: Node, hints: tuple[str, ...] = ("rating", "review-score", "score", "star")) -> Field | None:
+def _rating(s: Node, hints: tuple[str, ...] = GENERIC.ratings) -> Field | None:
     number = r"/\d+(?:\.\d+)?/"
     for n in s.walk():
         for a in _RATED:
@@ -204,18 +204,17 @@ def _gallery(s: Node) -> Field | None:
     return Field("images", best[0], best[1], None, True) if best and groups[best] >= 2 else None
 
 
-DETECTORS = (_link, _title, _image, _price, _rating, _address, _description)
-
 
 def labelled(s: Node, most: int = 40) -> list[Field]:
     """A field for each label of the item."""
     return list({field_name_py(a): Field(field_name_py(a), label=a) for a, _ in reversed(pairs(s))}.values())[::-1][:most]
 
 
-def fields(sample: Node, gallery: bool = False, labels: bool = False) -> list[Field]:
+def fields(sample: Node, gallery: bool = False, labels: bool = False, using: Preset = GENERIC) -> list[Field]:
     """Fields found in a sample; a later finder of the same name wins, labels never do."""
+    every = [_link(sample), _title(sample), _image(sample), _price(sample, using.prices), _rating(sample, using.ratings), _address(sample), _description(sample)]
     found: dict[str, Field] = {}
-    for f in (d(sample) for d in (*DETECTORS, *((_gallery,) if gallery else ()))):
+    for f in [*every, *([_gallery(sample)] if gallery else [])]:
         if f is not None:
             found[f.name] = f
     for f in labelled(sample) if labels else []:
@@ -282,9 +281,10 @@ def spread(total: int, most: int) -> list[int]:
     return sorted({int(i * (total - 1) / max(1, most - 1) + 0.5) for i in range(most)})
 
 
-def check_list(root: Node, selector: str, sample: Node, core: tuple[str, ...] = CORE, least: int = 2, rate: float = 0.6, unique: float = 0.65) -> tuple[bool, float]:
-    """(valid, share of sampled items with ``least`` core fields). Links must differ enough where there are three or more."""
-    found = fields(sample)
+def check_list(root: Node, selector: str, sample: Node, using: Preset = GENERIC) -> tuple[bool, float]:
+    """(valid, share of sampled items with enough core fields). Links must differ enough where there are three or more."""
+    core, least, rate, unique = using.core, using.least, using.rate, using.unique
+    found = fields(sample, using=using)
     if sum(f.name in core for f in found) < least:
         return False, 0.0
     try:
@@ -300,7 +300,7 @@ def check_list(root: Node, selector: str, sample: Node, core: tuple[str, ...] =
     return good >= rate and distinct >= unique, good
 
 
-def find_list(root: Node) -> tuple[str, Node] | None:
+def find_list(root: Node, using: Preset = GENERIC) -> tuple[str, Node] | None:
     """(item selector, sample item) of the page's list: the best valid candidate, else the best-scored one."""
     scope = main_content(root) or root
     found: list[tuple[int, Node, list[Node]]] = []
@@ -319,7 +319,7 @@ def find_list(root: Node) -> tuple[str, Node] | None:
             variants.append(nested)
         for g in variants:
             selector = item_selector(container, g)
-            valid, good = check_list(root, selector, g[0])
+            valid, good = check_list(root, selector, g[0], using)
             if valid and (best is None or (good, _specific(g[0])) > best[:2]):
                 best = (good, _specific(g[0]), selector, g[0])
     if best:
@@ -339,18 +339,34 @@ def find_pagination(root: Node) -> Pagination:
     return Pagination()
 
 
-def from_page(url: str, html: str, single: bool = False) -> Blueprint:
-    """A blueprint for one page: its list, or the whole body as one item where there is none."""
+def from_page(url: str, html: str, single: bool = False, using: Preset = GENERIC, labels: bool = True, main: bool = True) -> Blueprint:
+    """A blueprint for one page: its list, or the whole body as one item where there is none or ``single``.
+
+    ``using`` are the vocabularies, ``labels`` asks for labelled fields, ``main`` keeps a single page to its main content.
+    """
     root = parse(html)
-    found = None if single else find_list(root)
+    found = None if single else find_list(root, using)
+    more = {"item_schema": dict(using.schema), "image_path_prefix": using.image_prefix}
     if found is None:
         body = next(n for n in root.elements if n.tag == "body")
-        some = [f for f in fields(main_content(root) or body, gallery=True, labels=True) if f.name != "link"]
-        return Blueprint(url=url, item_selector="body", fields=(*some, Field("content", "main" if root.find("main") else "body", type="markdown")))
+        some = [f for f in fields(main and main_content(root) or body, True, labels, using) if f.name != "link"]
+        content = Field("content", "main" if main and root.find("main") else "body", type="markdown")
+        return Blueprint(url=url, item_selector="body", fields=(*some, content), **more)
     selector, sample = found
-    got = fields(sample, gallery=True, labels=True)
+    got = fields(sample, True, labels, using)
     key = "link" if any(f.name == "link" for f in got) else got[0].name if got else "link"
-    return Blueprint(url=url, item_selector=selector, fields=tuple(got), pagination=find_pagination(root), dedup=bool(got), dedup_key=key)
+    return Blueprint(url=url, item_selector=selector, fields=tuple(got), pagination=find_pagination(root), dedup=bool(got), dedup_key=key, **more)
+
+
+def with_details(bp: Blueprint, html: str, using: Preset = GENERIC, labels: bool = True) -> Blueprint:
+    """The blueprint with the fields of a sample detail page that its items don't have, read by way of their link."""
+    if not any(f.name == "link" for f in bp.fields):
+        return bp
+    root = parse(html)
+    body = next(n for n in root.elements if n.tag == "body")
+    own = {f.name for f in bp.fields}
+    found = tuple(f for f in fields(main_content(root) or body, True, labels, using) if f.name not in own)
+    return bp.but(scrape_detail=bool(found), detail_link_field="link" if found else bp.detail_link_field, detail_fields=found)
 
 
 def infer(pages: DataFrame, single: bool = False) -> DataFrame:
@@ -401,7 +417,7 @@ def record_list(doc: Any) -> dict | None:
     return {"path": best[1], "count": best[0][2], "sample": best[2]} if best else None
 
 
-def api_fields(sample: dict, images: tuple[str, ...] = ("image", "img", "photo", "picture", "thumb"), links: tuple[str, ...] = ("href", "link", "permalink", "slug", "url")) -> list[Field]:
+def api_fields(sample: dict, images: tuple[str, ...] = GENERIC.images, links: tuple[str, ...] = GENERIC.links) -> list[Field]:
     """Fields of a record's scalars and lists; the first that looks like an image or a link is given under that name too."""
     out: list[Field] = []
     names: set[str] = set()
@@ -424,27 +440,42 @@ def api_fields(sample: dict, images: tuple[str, ...] = ("image", "img", "photo",
     return out
 
 
-def from_response(url: str, body: str, page_param: str | None = None) -> Blueprint | None:
-    """A blueprint for a JSON endpoint; None if the response has no list of records."""
+def from_response(url: str, body: str, items_path: str | None = None, method: str = "GET", using: Preset = GENERIC) -> Blueprint | None:
+    """A blueprint for a JSON endpoint, paged as its address says; None if the response has no list of records.
+
+    ``items_path`` is where the list is, if that is known.
+    """
     import json
 
+    from gleanery.functions.urls import paging_py, without_page_params_py
+
     try:
-        found = record_list(json.loads(body))
+        doc = json.loads(body)
     except ValueError:
         return None
-    if not found or not isinstance(found["sample"], dict):
+    if items_path is not None:
+        for part in filter(None, items_path.split(".")):
+            doc = doc.get(part) if isinstance(doc, dict) else doc[int(part)] if isinstance(doc, list) and part.isdigit() and int(part) < len(doc) else None
+        found = {"path": items_path, "count": len(doc), "sample": doc[0]} if isinstance(doc, list) and doc else None
+    else:
+        found = record_list(doc)
+    if not found or not isinstance(found["sample"], dict) or not found["sample"]:
         return None
-    got = api_fields(found["sample"])
+    got = api_fields(found["sample"], using.images, using.links)
     names = [f.name for f in got]
     key = next((k for k in ("id", "uuid", "link") if k in names), None)
-    api = Api(endpoint=url, items_path=found["path"], page_param=page_param)
-    return Blueprint(url=url, mode="api", api=api, fields=tuple(got), dedup=key is not None, dedup_key=key or "link")
+    api = Api(items_path=found["path"], method=method, **paging_py(without_page_params_py(url)))
+    return Blueprint(url=url, mode="api", api=api, fields=tuple(got), dedup=key is not None, dedup_key=key or "link", item_schema=dict(using.schema), image_path_prefix=using.image_prefix)
 
 
-def best_response(captured: DataFrame) -> DataFrame:
-    """``(url, path, n_fields, n_records)`` of the richest GET response of ``captured(url, method, body)``, then the longest, then by address."""
+def judged_responses(captured: DataFrame) -> DataFrame:
+    """``(url, path, n_fields, n_records)`` of the GET responses of ``captured(url, method, body)`` that hold a list of records.
+
+    ``url`` is without paging parameters. Addresses of build files and manifests are left out.
+    """
     import json
 
+    from gleanery.functions.urls import discardable, without_page_params
 
     @pandas_udf("struct<path:string,n_fields:bigint,n_records:bigint>")
     def judge(body: pd.Series) -> pd.DataFrame:
@@ -454,13 +485,67 @@ def best_response(captured: DataFrame) -> DataFrame:
                 got = record_list(json.loads(b)) if b else None
             except ValueError:
                 got = None
-            rows.append((got["path"], len(got["sample"]) if isinstance(got["sample"], dict) else 0, got["count"]) if got else (None, None, None))
+            rows.append((got["path"], len(got["sample"]) if isinstance(got["sample"], (dict, list)) else 0, got["count"]) if got else (None, None, None))
         return pd.DataFrame(rows, columns=["path", "n_fields", "n_records"])
 
-    usable = captured.where("upper(method) = 'GET' AND url NOT RLIKE '(?i)(analytics|beacon|collect|metrics|pixel|telemetry|track)'")
-    got = usable.select("url", judge("body").alias("j")).where("j.n_records IS NOT NULL")
-    best = got.agg(F.min(F.struct((-F.col("j.n_fields")).alias("a"), (-F.col("j.n_records")).alias("b"), "url", F.col("j.path").alias("path"))).alias("m"))
-    return best.where("m IS NOT NULL").select("m.url", "m.path", (-F.col("m.a")).alias("n_fields"), (-F.col("m.b")).alias("n_records"))
+    usable = captured.where((F.upper(F.coalesce("method", F.lit("GET"))) == "GET") & F.col("url").isNotNull() & ~discardable(F.col("url")))
+    got = usable.select(without_page_params(F.col("url")).alias("url"), judge("body").alias("j")).where("j.n_fields > 0")
+    return got.select("url", "j.path", "j.n_fields", "j.n_records")
+
+
+def best_response(captured: DataFrame) -> DataFrame:
+    """The richest of the ``judged_responses``, then the longest, then by address."""
+    best = F.min(F.struct((-F.col("n_fields")).alias("a"), (-F.col("n_records")).alias("b"), "url", "path")).alias("m")
+    found = judged_responses(captured).agg(best).where("m IS NOT NULL")
+    return found.select("m.url", "m.path", (-F.col("m.a")).alias("n_fields"), (-F.col("m.b")).alias("n_records"))
+
+
+#: words of an address that likely lists things
+HINTS = "(?i)" + "|".join(GENERIC.endpoints)
+#: how many endpoints are suggested, tried, and how many scripts are read for them
+SUGGESTED, TRIED, SCRIPTS = 10, 12, 6
+
+
+def hinted(urls: list[str], most: int | None = None) -> list[str]:
+    """Addresses with a telling word first, otherwise in their order; the first ``most``. Ranking leaves nothing else out."""
+    return sorted(urls, key=lambda u: not re.search(HINTS, u))[:most]
+
+
+def discovered(url: str, html: str, captured: list[dict] | None = None) -> list[str]:
+    """The endpoints of captured responses with records and those that the page names, each once, in this order."""
+    import json
+
+    from gleanery.functions.urls import discardable_py, without_page_params_py
+
+    found = []
+    for r in captured or []:
+        if (r.get("method") or "GET").upper() == "GET" and not discardable_py(r["url"]):
+            try:
+                got = record_list(json.loads(r.get("body") or ""))
+            except ValueError:
+                continue
+            if got and isinstance(got["sample"], (dict, list)) and got["sample"]:
+                found.append(without_page_params_py(r["url"]))
+    return list(dict.fromkeys([*found, *endpoints_of(url, html)]))
+
+
+def discovered_endpoints(pages: DataFrame, captured: DataFrame | None = None) -> DataFrame:
+    """``(page_url, endpoint, rank)``: what ``pages(url, html)``, and ``captured(page_url, url, method, body)``, name, hinted ones first."""
+    from gleanery.functions.heuristics import endpoints
+
+    named = pages.select(F.col("url").alias("page_url"), F.posexplode(endpoints(F.col("url"), F.col("html"))).alias("at", "endpoint"))
+    found = named.select("page_url", "endpoint", F.lit(1).alias("of"), F.col("at").cast("bigint").alias("at"))
+    if captured is not None:
+        kept = captured.select("page_url", F.struct("page_url", "url").alias("id"), "url", "method", "body")
+        urls = judged_responses(kept).select("url").distinct()
+        from gleanery.functions.urls import without_page_params
+
+        seen = kept.select("page_url", without_page_params(F.col("url")).alias("endpoint"))
+        seen = seen.join(urls, F.col("endpoint") == F.col("url"), "left_semi").select("page_url", "endpoint", F.lit(0).alias("of"), F.lit(0).cast("bigint").alias("at"))
+        found = found.unionByName(seen)
+    one = found.groupBy("page_url", "endpoint").agg(F.min(F.struct("of", "at")).alias("place"))
+    order = Window.partitionBy("page_url").orderBy((~F.col("endpoint").rlike(HINTS)).cast("int"), "place", "endpoint")
+    return one.select("page_url", "endpoint", F.row_number().over(order).alias("rank"))
 
 
 def hosted_shop(url: str) -> Blueprint:
@@ -482,7 +567,7 @@ class ScriptRendered(RuntimeError):
     """A page whose content needs scripts: ``endpoints`` are addresses in it that may hold its data."""
 
     def __init__(self, url: str, endpoints: list[str]):
-        hint = f"; its data may be at {', '.join(endpoints)}" if endpoints else ""
+        hint = f"; its data may be at {', '.join(hinted(endpoints, SUGGESTED))}" if endpoints else ""
         super().__init__(f"{url} is rendered by scripts: fetch it with a browser{hint}")
         self.url, self.endpoints = url, endpoints
 
@@ -515,7 +600,9 @@ def _shown(n: Node) -> list[str]:
     return [w for c in n.children for w in (c.split() if isinstance(c, str) else _shown(c))]
 
 
-def propose(url: str, html: str, captured: list[dict] | None = None, rendered: str | None = None, single: bool = False) -> Blueprint:
+def propose(
+    url: str, html: str, captured: list[dict] | None = None, rendered: str | None = None, single: bool = False, using: Preset = GENERIC, labels: bool = True
+) -> Blueprint:
     """A blueprint for an address from what was fetched of it.
 
     ``captured`` are responses ``{url, method, body}`` that a browser saw, ``rendered`` the page it made. The order: a
@@ -525,6 +612,7 @@ def propose(url: str, html: str, captured: list[dict] | None = None, rendered: s
     item as a whole.
     """
     from gleanery.functions import heuristics as h
+    from gleanery.functions.urls import discardable_py
     from gleanery.sources.fetch import BotBlocked, vendor_of
 
     root = parse(html)
@@ -533,23 +621,24 @@ def propose(url: str, html: str, captured: list[dict] | None = None, rendered: s
         if vendor:
             raise BotBlocked(vendor, None, url)
     if single:
-        return from_page(url, html, single=True)
+        return from_page(url, html, True, using, labels)
     if any(m in html.lower() for m in h._SHOP_MARKS.split("|")):
         return hosted_shop(url)
 
     def listed(page: Node, text: str) -> str | None:
-        found = find_list(page)
+        found = find_list(page, using)
         return found[0] if found and real_list(page, found[0], text) else None
 
     own = listed(root, html)
     if own and (len(css.select(root, own)) >= TRUSTED or not needs_scripts(root, html) or not (captured or rendered)):
-        return from_page(url, html)
+        return from_page(url, html, False, using, labels)
     page = parse(rendered) if rendered else None
     later = listed(page, rendered) if page is not None else None
     count = len(css.select(page, later)) if later else 0
     best: tuple | None = None
     for r in captured or []:
-        bp = from_response(r["url"], r["body"]) if r["method"].upper() == "GET" and r["body"] and len(r["body"]) <= 800_000 else None
+        usable = r["method"].upper() == "GET" and r["body"] and len(r["body"]) <= 800_000 and not discardable_py(r["url"])
+        bp = from_response(r["url"], r["body"], using=using) if usable else None
         if bp is not None:
             import json
 
@@ -561,17 +650,17 @@ def propose(url: str, html: str, captured: list[dict] | None = None, rendered: s
     if best and best[2] >= TRUSTED and (not stable or best[2] >= 2 * count):
         return best[1]
     if later:
-        bp = from_page(url, rendered)
+        bp = from_page(url, rendered, False, using, labels)
         from dataclasses import replace
 
         return bp.but(http=replace(bp.http, render_js=True, transport="browser"))
     if own:
-        return from_page(url, html)
+        return from_page(url, html, False, using, labels)
     if best:
         return best[1]
     if needs_scripts(root, html):
-        raise ScriptRendered(url, endpoints_of(url, html))
-    return from_page(url, html, single=True)
+        raise ScriptRendered(url, discovered(url, html, captured))
+    return from_page(url, html, True, using, labels)
 
 
 def endpoints_of(url: str, html: str) -> list[str]:
@@ -584,21 +673,6 @@ def endpoints_of(url: str, html: str) -> list[str]:
     return list(dict.fromkeys(u for u in whole if u and fetchable_py(u) and not re.search(h._ASSET, u)))
 
 
-#: field hints by kind of site, looked up in the active preset, then the generic one
-PRESETS: dict[str, dict[str, Any]] = {
-    "generic": {"core": CORE, "least": 2, "rate": 0.6, "unique": 0.65, "price": (_PRICE,), "ratings": ("rating", "review-score", "score", "star"), "schema": {}},
-    "ecommerce": {"price": (_PRICE, r"/[,.\d]+\s*(?:AUD|CAD|EUR|GBP|USD)/i"), "schema": dict.fromkeys(("price", "rating"), "float")},
-    "auctions": {"core": ("image", "link", "title"), "schema": {"price": "float"}},
-    "properties": {"core": ("link", "price", "title"), "schema": dict.fromkeys(("area", "price"), "float")},
-    "auctions_pt_BR": {"price": (r"/R\$\s*[,.\d]+/",), "schema": {"price": "float"}},
-}
-
-
-def preset(name: str) -> dict[str, Any]:
-    return {**PRESETS["generic"], **PRESETS.get(name, {})}
-
-
 def safety_cap(bp: Blueprint) -> int:
-    """A limit for a run whose sources all have quotas: twice their sum, 0 (none) otherwise."""
-    limits = [s.limit for s in bp.sources]
-    return 2 * sum(limits) if limits and all(limits) else 0
+    """A limit for a run whose sources have quotas: twice their sum, 0 (none) without any."""
+    return 2 * sum(s.limit for s in bp.sources)

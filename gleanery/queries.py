@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.columns import ITEM, PAGE_URL
 from gleanery.dom.extract import label_values, markdown, select_all
 from gleanery.functions import coerce, heuristics, jsonpath, text, urls
 from gleanery.operators import filters, images, shape, sink
 from gleanery.plans import infer, run
 from gleanery.plans.blueprint import Api, ApiDetail, Blueprint, Field, InfiniteScroll, Output, Pagination, Rule, Source
 from gleanery.sinks import export
+from gleanery.sources import guard, requests
 from gleanery.sources import pages as page_sources
-from gleanery.sources import requests
 from gleanery.streaming.incremental import event_counts
 
 QUERIES: dict = {}
@@ -39,7 +41,7 @@ _ARTICLES = Blueprint(url="https://example.com/", item_selector="article", field
 @_query("SELECT url AS page_url, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(spark, sf_dir):
     """Scan, item generator, CSS fields, trim."""
-    return run.all_pages(_ARTICLES, _t(spark, sf_dir, "pages")).select("page_url", "title")
+    return run.all_pages(_ARTICLES, _t(spark, sf_dir, "pages")).select(F.col(PAGE_URL).alias("page_url"), "title")
 
 
 @_query("""
@@ -52,7 +54,7 @@ def page_titles(spark, sf_dir):
 def page_links(spark, sf_dir):
     """Items in document order, attributes, absolute URLs."""
     bp = Blueprint(item_selector="nav ul li a", fields=(Field("link", "", "href"), Field("word", "")))
-    return run.all_pages(bp, _t(spark, sf_dir, "pages")).select("page_url", "item_ord", "link", "word")
+    return run.all_pages(bp, _t(spark, sf_dir, "pages")).select(F.col(PAGE_URL).alias("page_url"), F.col(ITEM).alias("item_ord"), "link", "word")
 
 
 @_query("""
@@ -63,7 +65,7 @@ def page_links(spark, sf_dir):
 def page_xpath_regex(spark, sf_dir):
     """XPath fields and regex capture."""
     bp = Blueprint(fields=(Field("by_path", "//head/title", type="xpath"), Field("first_word", "h1", regex=r"/([A-Za-z0-9_]+) /")))
-    return run.all_pages(bp, _t(spark, sf_dir, "pages")).select("page_url", "by_path", "first_word")
+    return run.all_pages(bp, _t(spark, sf_dir, "pages")).select(F.col(PAGE_URL).alias("page_url"), "by_path", "first_word")
 
 
 @_query()
@@ -72,10 +74,23 @@ def page_markdown(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", markdown()("url", "html").alias("md"))
 
 
-@_query()
+@_query("""
+    SELECT page_id, l.label, l.value FROM (
+        SELECT page_id, unnest([
+            {'label': 'Host', 'value': regexp_extract(url, '://([^/?#:]+)', 1)}, {'label': 'Page', 'value': 'no. ' || page_id}, {'label': 'Code', 'value': 'C' || page_id % 7},
+            {'label': 'Size', 'value': page_id % 40 || ' m'}, {'label': 'State', 'value': 'new'}
+        ]) AS l FROM pages
+    )
+""")
 def page_labels(spark, sf_dir):
-    """Label and value harvest."""
-    got = _t(spark, sf_dir, "pages").select("page_id", F.explode(label_values()("url", "html")).alias("p"))
+    """Label and value harvest: a definition list, a table, bold labels, plain lines and label classes added to every page."""
+    n = F.col("page_id")
+    parts = [
+        F.lit("<dl><dt>Host:</dt><dd>"), F.regexp_extract("url", "://([^/?#:]+)", 1), F.lit("</dd></dl><table><tr><th>Page</th><td> no. "), n.cast("string"), F.lit("</td></tr></table><p><b>Code:</b> C"),
+        (n % 7).cast("string"), F.lit("</p><p>Size: "), (n % 40).cast("string"), F.lit(" m</p><div><span class='label'>State</span><span class='value'>new</span><span>x</span></div><p>host: again</p>"),
+    ]
+    html = F.concat(F.col("html"), F.lit("<section>"), *parts, F.lit("</section>"))
+    got = _t(spark, sf_dir, "pages").select("page_id", F.explode(label_values()("url", html)).alias("p"))
     return got.select("page_id", "p.label", "p.value")
 
 
@@ -201,15 +216,14 @@ def item_limit(spark, sf_dir):
     ka AS (SELECT * FROM a WHERE nth = 1 ORDER BY event_id LIMIT 5),
     b AS (
         SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events
-        WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM ka)
+        WHERE event_type <> 'click' AND user_id NOT IN (SELECT user_id FROM ka)
     )
     SELECT 0::BIGINT AS source_ord, event_id AS item_ord, user_id::VARCHAR AS user_id FROM ka
     UNION ALL SELECT 1, event_id, user_id::VARCHAR FROM b WHERE nth = 1
 """)
 def item_quotas(spark, sf_dir):
-    """Per-source quota: keys beyond it stay free for the next source."""
-    df = _feed(spark, sf_dir).where("event_type IN ('click', 'purchase')")
-    df = df.withColumn("source_ord", F.when(F.col("event_type") == "click", 0).otherwise(1).cast("bigint"))
+    """Per-source quota: keys beyond it stay free for the next source. Clicks are one source, all other events the second."""
+    df = _feed(spark, sf_dir).withColumn("source_ord", F.when(F.col("event_type") == "click", 0).otherwise(1).cast("bigint"))
     return sink.accept(df, "user_id", quotas={0: 5}).select("source_ord", "item_ord", "user_id")
 
 
@@ -223,12 +237,15 @@ def item_resume(spark, sf_dir):
 @_query(f"""
     WITH j AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_ord) AS nth FROM ({_FEED}))
     SELECT 1::BIGINT AS pages_fetched, 0::BIGINT AS pages_failed, count(*) AS items_found, count(*) FILTER (nth > 1) AS items_deduped,
-        count(*) FILTER (nth = 1 AND event_type = 'error') AS items_filtered, count(*) FILTER (nth = 1 AND event_type <> 'error') AS items_scraped
+        count(*) FILTER (nth = 1 AND event_type = 'error') AS items_filtered, count(*) FILTER (nth = 1 AND event_type <> 'error') AS items_scraped,
+        0::BIGINT AS details_fetched, 0::BIGINT AS details_failed, 0::BIGINT AS images_saved, 2::BIGINT AS images_failed,
+        (SELECT count(*) FROM customer) AS cache_hits, 0::BIGINT AS cache_misses, 12.5::DOUBLE AS elapsed_s, round(items_scraped / 12.5::DOUBLE, 1) AS items_per_s
     FROM j
 """)
 def run_statistics(spark, sf_dir):
     """Run counters."""
-    return run.statistics(sink.judged(_feed(spark, sf_dir), "user_id", (Rule("event_type", "not_equals", "error"),)), pages=1)
+    judged = sink.judged(_feed(spark, sf_dir), "user_id", (Rule("event_type", "not_equals", "error"),))
+    return run.statistics(judged, 12.5, pages_fetched=1, images_failed=2, cache_hits=_t(spark, sf_dir, "customer").count())
 
 
 _EVENTS_API = Blueprint(
@@ -258,14 +275,38 @@ def api_items(spark, sf_dir):
     return got.select("id", "user", "k", F.array_join("kinds", ",").alias("kind"), "feed")
 
 
-@_query("SELECT event_id AS id FROM events WHERE event_id < 300")
+@_query("SELECT event_id AS id, source::BIGINT AS source FROM events, (SELECT unnest([0, 1, 2]) AS source)")
 def api_page_cuts(spark, sf_dir):
-    """A source ends before an equal payload and an empty page."""
-    r = _responses(spark, sf_dir).where("page_ord < 3")
-    again = r.where("page_ord = 2").withColumn("page_ord", F.lit(3).cast("bigint"))
-    later = r.where("page_ord = 1").withColumn("page_ord", F.lit(4).cast("bigint"))
-    bad = spark.createDataFrame([(0, 5, "{\"data\": {\"results\": []}}"), (0, 6, "<html>")], "source_ord bigint, page_ord bigint, body string")
-    return run.run_api(spark, _EVENTS_API, run.combine([r, again, later, bad])).select("id")
+    """A source ends before an equal payload, before an empty page and before what isn't JSON: three sources of all events, and pages beyond."""
+    r = _responses(spark, sf_dir)
+    last = r.agg(F.max("page_ord")).first()[0]
+    at = lambda df, source, page: df.select(F.lit(source).cast("bigint").alias("source_ord"), F.lit(page).cast("bigint").alias("page_ord"), "body")
+    first, end = r.where("page_ord = 0"), r.where(F.col("page_ord") == last)
+    empty, broken = (spark.createDataFrame([(b,)], "body string") for b in ('{"data": {"results": []}}', "<html>"))
+    parts = [r.withColumn("source_ord", F.lit(s).cast("bigint")) for s in range(3)]
+    parts += [at(x, s, last + 1) for s, x in enumerate((end, empty, broken))] + [at(first, s, last + 2) for s in range(3)]
+    bp = _EVENTS_API.but(sources=tuple(Source(str(s), {"source": s}) for s in range(3)))
+    return run.run_api(spark, bp, run.combine(parts)).select("id", F.col("source").cast("bigint").alias("source"))
+
+
+@_query("""
+    SELECT event_id AS total, user_id::VARCHAR AS page_url, event_type AS item_ord, 'e' || event_id AS _first, 'x' AS source_ord, value AS _kept FROM events
+""")
+def fields_of_any_name(spark, sf_dir):
+    """Fields named like columns of the engine, over all events."""
+    e = _t(spark, sf_dir, "events").withColumn("page_ord", F.floor(F.col("event_id") / 100).cast("bigint"))
+    row = F.struct(
+        F.col("event_id").alias("total"), F.col("user_id").alias("page_url"), F.col("event_type").alias("item_ord"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("_first"),
+        F.lit("x").alias("source_ord"), F.col("value").alias("_kept"),
+    )
+    body = F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("r")))
+    pages = e.groupBy("page_ord").agg(body.alias("body")).select(F.lit(0).cast("bigint").alias("source_ord"), "page_ord", "body")
+    names = ("total", "page_url", "item_ord", "_first", "source_ord", "_kept")
+    bp = Blueprint(
+        url="https://api.example.com/", mode="api", api=Api(endpoint="https://api.example.com/e", items_path="r", page_param="page"),
+        fields=tuple(Field(n, n, type="json") for n in names), item_schema={"total": "int", "_kept": "float"}, dedup=True, dedup_key="total",
+    )
+    return run.run_api(spark, bp, pages).select(*names)
 
 
 @_query("""
@@ -327,14 +368,15 @@ def page_link_list(spark, sf_dir):
     return page_sources.page_list(spark, bp, _shop(spark, sf_dir))
 
 
-@_query("SELECT n_name AS name FROM nation WHERE n_nationkey < 15")
+@_query("SELECT n_name AS name FROM nation")
 def infinite_scroll(spark, sf_dir):
-    """Fragments by offset, ended by an equal payload."""
-    n = _t(spark, sf_dir, "nation").where("n_nationkey < 15")
+    """Fragments by offset, ended by an equal payload after the last of all nations."""
+    n = _t(spark, sf_dir, "nation")
     item = F.concat(F.lit("<div class='card'><a href='/"), F.col("n_nationkey").cast("string"), F.lit("'>"), F.col("n_name"), F.lit("</a></div>"))
     batch = n.groupBy((F.floor(F.col("n_nationkey") / 5) * 5).cast("bigint").alias("value")).agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("html"))
     start = batch.where("value = 0").select(F.lit("https://scroll.example.com/").alias("url"), "html")
-    rest = batch.where("value > 0").unionByName(batch.where("value = 10").withColumn("value", F.lit(15).cast("bigint")))
+    rest = batch.where("value > 0").unionByName(batch.where("value = 20").withColumn("value", F.lit(25).cast("bigint")))
+    rest = rest.unionByName(batch.where("value = 5").withColumn("value", F.lit(30).cast("bigint")))
     bp = Blueprint(url="https://scroll.example.com/", item_selector=".card", fields=(Field("name", "a"),), infinite_scroll=InfiniteScroll(page_size=5, start=5))
     return run.run_html(spark, bp, start, scrolled=rest)
 
@@ -365,23 +407,42 @@ def request_plan(spark, sf_dir):
 
 
 @_query("""
-    SELECT page_id, contains(lower(html), 'ng-app') OR (length(lower(html)) - length(replace(lower(html), '<script', ''))) / 7 >= 3 AND false AS shell,
-        CASE WHEN contains(lower(html), 'cloudflare') THEN 'Cloudflare' END AS vendor FROM pages
+    WITH p AS (SELECT page_id, html || repeat('<script src="/x.js"></script>', page_id % 5) AS html FROM pages),
+    t AS (
+        SELECT page_id, lower(html) AS low,
+            regexp_replace(html, '(?is)<(script|style|noscript|template)\\b[^>]*>.*?</(script|style|noscript|template)\\s*>', ' ', 'g') AS bare FROM p
+    )
+    SELECT page_id, len(regexp_split_to_array(low, '<script')) - 1 >= 3 AND strlen(trim(regexp_replace(regexp_replace(bare, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) < 800 AS shell,
+        CASE WHEN page_id % 3 = 0 THEN 'Cloudflare' END AS vendor FROM t
 """)
 def page_fingerprints(spark, sf_dir):
-    """Script shells and bot protection."""
-    h = F.col("html")
+    """Script shells and bot protection, with up to four more scripts in each page and a mark in every third."""
+    more = F.repeat(F.lit('<script src="/x.js"></script>'), (F.col("page_id") % 5).cast("int"))
+    h = F.concat("html", more, F.when(F.col("page_id") % 3 == 0, "<!-- cf-ray: 1 -->").otherwise(""))
     return _t(spark, sf_dir, "pages").select("page_id", heuristics.is_app_shell(h).alias("shell"), heuristics.bot_vendor(h).alias("vendor"))
 
 
-@_query("""
-    SELECT page_id, CASE WHEN starts_with(url, 'https') THEN NULL ELSE 'private address 10.0.0.' || page_id % 200 END AS reason FROM pages
+_HOSTS = (
+    ("localhost", "127.0.0.1"), ("2130706433", "127.0.0.1"), ("127.1", "127.0.0.1"), ("[::ffff:169.254.169.254]", "169.254.169.254"), ("[::ffff:172.16.0.1]", "172.16.0.1"),
+    ("[0:0:0:0:0:0:0:1]", "::1"), ("0x7f.0.0.1", "127.0.0.1"), ("0177.0.0.1", "127.0.0.1"), ("[fe80::1%25eth0]", "fe80::1"), ("[fd00::1]", "fd00::1"), ("192.168.1.1.", "192.168.1.1"),
+    ("172.31.255.255", "172.31.255.255"), ("172.32.0.1", None), ("1.1.1.1", None), ("16843009", None), ("[2606:4700:4700::1111]", None), ("user@10.0.0.9:80", "10.0.0.9"), ("", "no host"),
+    ("allowed.internal", None), ("example.com", None),
+)
+
+
+@_query(f"""
+    WITH h AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{b or ''}')" for i, (_, b) in enumerate(_HOSTS))}) AS h(i, bad))
+    SELECT page_id, bad AS host_case, CASE WHEN page_id % 7 = 0 THEN 'not a web address (scheme ''ftp'')' WHEN bad = 'no host' THEN bad WHEN bad <> '' THEN 'private address ' || bad END AS reason
+    FROM pages JOIN h ON page_id % {len(_HOSTS)} = i
 """)
 def url_guard(spark, sf_dir):
-    """Which addresses may be fetched."""
-    ip = F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 200).cast("string"), F.lit("/x"))
-    u = F.when(F.col("url").startswith("https"), F.col("url")).otherwise(ip)
-    return _t(spark, sf_dir, "pages").select("page_id", page_sources.refused(u, block_private=True).alias("reason"))
+    """Which addresses may be fetched: hosts written in every way, on the paths of all pages."""
+    at = F.col("page_id") % len(_HOSTS)
+    host, bad = (F.element_at(F.array(*[F.lit(h[k] or "") for h in _HOSTS]), (at + 1).cast("int")) for k in (0, 1))
+    scheme = F.when(F.col("page_id") % 7 == 0, "ftp").otherwise("http")
+    u = F.concat(scheme, F.lit("://"), host, F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1))
+    u = F.when(host == "", F.concat(scheme, F.lit(":///x"))).otherwise(u)
+    return _t(spark, sf_dir, "pages").select("page_id", bad.alias("host_case"), guard.refused(u, True, ("allowed.internal",)).alias("reason"))
 
 
 @_query("""
@@ -439,10 +500,11 @@ def event_windows(spark, sf_dir):
 
 
 @_query("""
-    SELECT event_type AS host, event_id AS at, round(list_reduce(list_prepend(0.0::DOUBLE, goals), lambda d, g: (d + g) / 2), 6) AS delay_ms FROM (
-        SELECT event_type, event_id, list(least(greatest(value, 20.0), 30000.0)::DOUBLE)
-            OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS goals FROM events
+    WITH g AS (SELECT event_type, list(least(greatest(value, 20.0), 30000.0)::DOUBLE ORDER BY event_id) AS goals, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY event_type),
+    f AS (
+        SELECT event_type, ids, list_reduce(list_prepend([0.0::DOUBLE], list_transform(goals, lambda x: [x])), lambda d, g: list_append(d, (d[len(d)] + g[1]) / 2)) AS folded FROM g
     )
+    SELECT event_type AS host, unnest(ids) AS at, round(unnest(folded[2:]), 6) AS delay_ms FROM f
 """)
 def throttle(spark, sf_dir):
     """Delays after each response of a host, folded in order."""
@@ -450,13 +512,86 @@ def throttle(spark, sf_dir):
     return run.throttled(e, 20.0).select("host", "at", F.round("delay_ms", 6).alias("delay_ms"))
 
 
-@_query()
+@_query("""
+    WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch(date_trunc('second', ts)) AS s FROM events),
+    r AS (
+        SELECT user_id, n, s, s AS since, false AS hit FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.n, e.s, CASE WHEN e.s - r.since < 3600 THEN r.since ELSE e.s END, e.s - r.since < 3600 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1
+    )
+    SELECT user_id::VARCHAR AS url, s::DOUBLE AS "at", hit FROM r
+""")
 def cache_replay(spark, sf_dir):
     """Which requests a cache with a fixed lifetime answers."""
     e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return page_sources.replayed(e, 3600)
 
 
+@_query("""
+    SELECT 'https://api.example.com/orders' AS url, 'data.rows' AS path, 4::BIGINT AS n_fields, least(count(*), 200)::BIGINT AS n_records FROM orders
+""")
+def best_api_response(spark, sf_dir):
+    """The richest captured response: of orders, customers and a build file with more fields, in pages of 200 records each."""
+    def captured(table: str, key: str, columns: list, url: str):
+        rows = _t(spark, sf_dir, table).withColumn("at", F.floor((F.col(key) - 1) / 200).cast("bigint"))
+        body = F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows")).alias("data")))
+        return rows.groupBy("at").agg(body.alias("body")).select(F.concat(F.lit(url), F.lit("?page="), F.col("at").cast("string")).alias("url"), F.lit("get").alias("method"), "body")
+
+    o = captured("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "https://api.example.com/orders")
+    c = captured("customer", "c_custkey", ["c_custkey", "c_name"], "https://api.example.com/collections")
+    build = captured("customer", "c_custkey", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"], "https://api.example.com/_next/data/x.json")
+    post = o.withColumn("method", F.lit("POST")).withColumn("url", F.lit("https://api.example.com/a"))
+    return infer.best_response(run.combine([o, c, build, post]))
+
+
+@_query("""
+    SELECT page_id, 'https://' || regexp_extract(url, '://([^/?#:]+)', 1) || '/api/list?limit=' || (page_id % 3) * 10 AS endpoint,
+        CASE WHEN page_id % 3 = 0 THEN 'page' ELSE 'offset' END AS page_param, CASE WHEN page_id % 3 = 0 THEN 100 ELSE (page_id % 3) * 10 END AS page_size,
+        false AS discarded FROM pages
+    UNION ALL SELECT page_id, 'https://a.example.com/get/{page}/{page_size}', NULL, page_id % 90 + 10, true FROM pages
+""")
+def endpoint_paging(spark, sf_dir):
+    """How endpoints page, and which are build files."""
+    @F.pandas_udf("struct<endpoint:string,page_param:string,page_size:bigint>")
+    def paging(url: pd.Series) -> pd.DataFrame:
+        found = [urls.paging_py(urls.without_page_params_py(u)) for u in url]
+        return pd.DataFrame([(p["endpoint"], p.get("page_param"), p["page_size"]) for p in found], columns=["endpoint", "page_param", "page_size"])
+
+    p, n = _t(spark, sf_dir, "pages"), F.col("page_id")
+    host = F.concat(F.lit("https://"), F.regexp_extract("url", "://([^/?#:]+)", 1))
+    listed = F.concat(host, F.lit("/api/list?offset="), n.cast("string"), F.lit("&limit="), (n % 3 * 10).cast("string"), F.lit("&START=4"))
+    by_path = F.concat(F.lit("https://a.example.com/get/1/"), (n % 90 + 10).cast("string"), F.lit("/"))
+    both = p.select("page_id", listed.alias("u"), F.lit("https://a.example.com/api/collections").alias("d"))
+    both = both.unionByName(p.select("page_id", by_path.alias("u"), F.concat(host, F.lit("/page-data/x.json")).alias("d")))
+    return both.select("page_id", paging("u").alias("p"), urls.discardable(F.col("d")).alias("discarded")).select("page_id", "p.endpoint", "p.page_param", "p.page_size", "discarded")
+
+
+@_query("""
+    SELECT l_orderkey, l_linenumber, trunc(l_extendedprice * 1e6)::BIGINT AS as_int, l_extendedprice * 1e6 AS as_float, l_quantity = 1 AS as_bool, l_discount / 1e6 AS small FROM lineitem
+""")
+def number_coercion(spark, sf_dir):
+    """Numbers, however large or small, coerced as numbers."""
+    from gleanery.operators.pipeline import coerced
+
+    price = F.col("l_extendedprice") * 1e6
+    df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("as_int"), price.alias("as_float"), F.col("l_quantity").alias("as_bool"), (F.col("l_discount") / 1e6).alias("small"))
+    return coerced(df, {"as_int": "int", "as_float": "float", "as_bool": "bool", "small": "float"})
+
+
+@_query("""
+    SELECT r_regionkey, (2 * (n % 2 * 5 + r_regionkey % 3 * 7))::BIGINT AS cap FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey
+""")
+def safety_caps(spark, sf_dir):
+    """The limit of a run from its sources' quotas, some of which are none."""
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").count()
+    rows = _t(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "count")
+
+    @F.pandas_udf("bigint")
+    def cap(key: pd.Series, count: pd.Series) -> pd.Series:
+        return pd.Series([infer.safety_cap(Blueprint(sources=(Source("a", {}, int(c) % 2 * 5), Source("b", {}, int(k) % 3 * 7), Source("c")))) for k, c in zip(key, count)])
+
+    return rows.select("r_regionkey", cap("r_regionkey", "count").alias("cap"))
+
+
 @_query()
 def inferred_blueprints(spark, sf_dir):
     """The blueprint that most pages of a host propose."""

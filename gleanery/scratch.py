@@ -13,9 +13,12 @@ _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a private one in local mode, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         if not _LOCAL_DIR:
             _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="gleanery-"))
         named = _LOCAL_DIR[0]
@@ -29,12 +32,13 @@ def _root(spark: SparkSession) -> str:
     return _ROOTS[app][1]
 
 
-def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at the files."""
+def write_shared(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at the files. ``by`` is a column of folders."""
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]), path
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:

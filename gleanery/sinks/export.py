@@ -119,6 +119,48 @@ def write(df: DataFrame, kind: str, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+class FileStream:
+    """One file, or standard output for ``-``, written as items arrive, so that the driver holds one item at a time.
+
+    ``json`` and ``jsonl`` grow with each ``write``; ``csv``, whose header is the union of all items' columns, and ``markdown``
+    are one document and written by ``close``.
+    """
+
+    def __init__(self, path: str, kind: str = "json"):
+        import sys
+
+        self.kind, self.path, self.held, self.first = kind, path, [], True
+        if path != "-":
+            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        self.file = sys.stdout if path == "-" else open(path, "w", encoding="utf-8")
+        if kind == "json":
+            self.file.write("[\n")
+
+    def write(self, df: DataFrame) -> None:
+        """Appends the rows of ``df`` in their order; usable as the function of ``foreachBatch`` and of ``stream_items``."""
+        if self.kind in ("csv", "markdown"):
+            self.held.append(df)
+            return
+        for row in df.select(json_lines(df).alias("line")).toLocalIterator():
+            if self.kind == "json":
+                self.file.write(("  " if self.first else ",\n  ") + row["line"])
+            else:
+                self.file.write(row["line"] + "\n")
+            self.first = False
+        self.file.flush()
+
+    def close(self) -> None:
+        if self.held:
+            whole = self.held[0]
+            for more in self.held[1:]:
+                whole = whole.unionByName(more, allowMissingColumns=True)
+            self.file.write(text(whole, self.kind))
+        if self.kind == "json":
+            self.file.write("]\n" if self.first else "\n]\n")
+        if self.path != "-":
+            self.file.close()
+
+
 def file_path(folder: str, name: str, kind: str) -> str:
     """``-`` stays standard output; a name gets the format's suffix unless it has one."""
     if name == "-":

@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.dom.extract import items
-from gleanery.dom.tree import parse
 from gleanery.functions.heuristics import VENDORS
 from gleanery.plans.blueprint import Http
 from gleanery.scratch import arrow_schema
-from gleanery.sources.pages import refused
+from gleanery.sources import guard
+from gleanery.sources.pages import cached
 
 #: from the plainest to the most costly
 LADDER = ("http", "browser", "challenge_solver", "scraping_api")
@@ -110,8 +109,8 @@ def fetch(
 ) -> DataFrame:
     """``(url, status, html, error, latency_ms, fetched_at)`` of ``requests(url[, method, headers MAP, body])``.
 
-    An address that the guard refuses, and a request that fails, have an ``error`` and no ``html``; null addresses
-    are refused. Rows wait ``delay_ms`` after each other within a partition.
+    An address that the guard refuses, after looking up its host, and a request that fails, have an ``error`` and no
+    ``html``; null addresses are refused. Rows wait ``delay_ms`` after each other within a partition.
     """
     http = http or Http()
     ladder = transports or {"http": plain}
@@ -119,7 +118,7 @@ def fetch(
     df = requests.select(
         "url", (F.col("method") if "method" in have else F.lit("GET")).alias("method"),
         F.to_json("headers").alias("headers") if "headers" in have else F.lit("{}").alias("headers"),
-        (F.col("body") if "body" in have else F.lit(None).cast("string")).alias("body"), refused(F.col("url"), block_private, allow).alias("bad"),
+        (F.col("body") if "body" in have else F.lit(None).cast("string")).alias("body"),
     )
     schema, out = arrow_schema("url string, status int, html string, error string, latency_ms double, fetched_at timestamp")
 
@@ -127,7 +126,7 @@ def fetch(
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                began, status, html, error = time.time(), None, None, r["bad"]
+                began, status, html, error = time.time(), None, None, guard.reason(r["url"], block_private, allow)
                 if error is None:
                     try:
                         status, html = climb(r["url"], ladder, http, r["method"], json.loads(r["headers"] or "{}"), r["body"])
@@ -143,6 +142,21 @@ def fetch(
     return df.mapInArrow(run, schema)
 
 
-def links_of(html: str, selector: str) -> list[str]:
-    """Link values of a page's matches, as they stand."""
-    return [n.get("href").strip() for n in items(parse(html), selector) if n.get("href").strip() not in ("", "#")]
+
+def fetch_through(requests: DataFrame, store: DataFrame, ttl: int, **more) -> DataFrame:
+    """``fetch`` with a cache: ``(url, status, html, error, latency_ms, fetched_at, hit)``.
+
+    ``store`` is an earlier result of ``fetch``. Plain GET requests whose address has an answer there that is younger
+    than ``ttl`` seconds (0: of any age) are answered by the youngest one; the others are fetched. Add the rows that aren't hits to the store.
+    """
+    good = store.where("error IS NULL AND status BETWEEN 200 AND 299").select("url", "fetched_at", F.struct("status", "html", "fetched_at").alias("body"))
+    known = cached(good, ttl).withColumnRenamed("key", "~key")
+    plain_get = (F.upper("method") == "GET") if "method" in requests.columns else F.lit(True)
+    body = F.col("body").isNull() if "body" in requests.columns else F.lit(True)
+    key = F.when(plain_get & body, F.sha1(F.col("url").cast("binary")))
+    asked = requests.withColumn("~key", key).join(known.withColumnRenamed("body", "~answer"), "~key", "left")
+    hits = asked.where("`~answer` IS NOT NULL").select(
+        "url", "`~answer`.status", "`~answer`.html", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("latency_ms"), "`~answer`.fetched_at", F.lit(True).alias("hit")
+    )
+    rest = asked.where("`~answer` IS NULL").select(*[f"`{c}`" for c in requests.columns])
+    return hits.unionByName(fetch(rest, **more).withColumn("hit", F.lit(False)))

@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.dom.extract import links, next_link
+from gleanery.dom.extract import links, next_link, token
 from gleanery.functions.urls import source_url
 from gleanery.plans.blueprint import Blueprint
 from gleanery.scratch import arrow_schema, write_shared
+from gleanery.sources.requests import scroll_request
 
 
 def capped(df: DataFrame, most: int) -> DataFrame:
@@ -46,29 +47,21 @@ def page_list(spark: SparkSession, bp: Blueprint, pages: DataFrame) -> DataFrame
         return capped(here.unionByName(found.select("source_ord", (F.col("at") + 1).cast("bigint").alias("page_ord"), "url")), bp.max_pages)
     if bp.pagination.strategy != "next_link" or not bp.pagination.css:
         return here
+    # one pass reads every page's next link; each hop then joins its few tips to narrow rows
     edges, _ = write_shared(pages.select("url", next_link(bp.pagination.css)("url", "html").alias("to")).where("`to` IS NOT NULL").distinct(), "edges")
-    done, _ = write_shared(here, "chain")
-    tip, hop = done, 1
+    done, path = write_shared(here, "chain")
+    tip, hop, paths = done, 1, [path]
     while bp.max_pages <= 0 or hop < bp.max_pages:
         step = tip.select("source_ord", "url").join(edges, "url").select("source_ord", F.lit(hop).cast("bigint").alias("page_ord"), F.col("to").alias("url"))
-        step, _ = write_shared(step.join(done.select("source_ord", "url"), ["source_ord", "url"], "left_anti"), "chain")
-        if step.isEmpty():
+        tip, path = write_shared(step.join(done.select("source_ord", "url"), ["source_ord", "url"], "left_anti"), "chain")
+        if tip.isEmpty():
             break
-        done, tip, hop = done.unionByName(step), step, hop + 1
+        paths.append(path)
+        # the folders of all hops are one table: the plan doesn't grow with them
+        done, hop = spark.read.schema(here.schema).parquet(*paths), hop + 1
     return done
 
 
-def next_chain_sql(start: str, edges: str, most: int) -> str:
-    """The same chain for one source as a recursive query over a view ``edges(url, to)``."""
-    return f"""
-        WITH RECURSIVE chain(page_ord, url) AS (
-            SELECT 0, '{start}' UNION ALL
-            SELECT page_ord + 1, e.to FROM chain JOIN {edges} e ON chain.url = e.url WHERE page_ord + 1 < {most}
-        )
-        SELECT min(page_ord) AS page_ord, url FROM chain GROUP BY url
-    """
-
-
 def fragments(spark: SparkSession, bp: Blueprint, responses: DataFrame) -> DataFrame:
     """Infinite-scroll batches in order, ``(page_ord, url, html)``, from ``responses(value BIGINT, html)``.
 
@@ -92,6 +85,22 @@ def fragments(spark: SparkSession, bp: Blueprint, responses: DataFrame) -> DataF
     return got.withColumn("_stop", stop).where("_stop = 0").select("page_ord", F.lit(scroll.endpoint).alias("url"), "html")
 
 
+def scroll_requests(spark: SparkSession, bp: Blueprint, pages: DataFrame, count: int) -> list[dict]:
+    """The first ``count`` requests of an infinite scroll, with the token that the start page holds; ``value`` names each one's answer.
+
+    None without settings. A token that isn't there is left out of the requests.
+    """
+    scroll = bp.infinite_scroll
+    if scroll is None:
+        return []
+    found = None
+    if scroll.token_css:
+        start = pages.where(F.col("url") == bp.url).select(token(scroll.token_css, scroll.token_attribute)("url", "html").alias("t"))
+        row = start.agg(F.min("t")).first()  # one page's
+        found = row[0]
+    return [{"value": scroll.value(i), **scroll_request(scroll, i, found)} for i in range(count)]
+
+
 def cached(responses: DataFrame, ttl: int, now: str | None = None) -> DataFrame:
     """Fresh rows of ``responses(url, fetched_at, body)`` keyed by the hash of the URL, the latest of each; ``ttl`` 0 keeps all."""
     when = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
@@ -122,19 +131,3 @@ def replayed(requests: DataFrame, ttl: int) -> DataFrame:
     df = requests.where("url IS NOT NULL AND at IS NOT NULL").select("url", F.col("at").cast("double").alias("at"))
     return df.repartition("url").sortWithinPartitions("url", "at").mapInArrow(run, schema)
 
-
-def refused(url, block_private: bool = False, allow: tuple[str, ...] = ()):
-    """Why an address may not be fetched, null if it may: no web scheme, no host, or a literal private address."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    web = F.coalesce(scheme.isin("http", "https"), F.lit(False))
-    bad = F.when(~web, F.concat(F.lit("not a web address (scheme '"), F.coalesce(scheme, F.lit("")), F.lit("')")))
-    if not block_private:
-        return bad
-    name = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    ip = F.btrim(name, F.lit("[]"))
-    private4 = ip.rlike(
-        r"^(?:0|10|127)(?:\.\d{1,3}){3}$|^169\.254(?:\.\d{1,3}){2}$|^192\.168(?:\.\d{1,3}){2}$|^172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}$|^(?:24\d|25[0-5])(?:\.\d{1,3}){3}$"
-    )
-    private6 = ip.rlike(r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|::ffff:(?:10|127|192\.168)\..*)$")
-    listed = name.isin(*[a.lower() for a in allow]) if allow else F.lit(False)
-    return bad.when(name == "", "no host").when(listed, F.lit(None).cast("string")).when(private4 | private6, F.concat(F.lit("private address "), ip))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from gleanery.columns import FIRST, KEPT, ORDER, PAGE_URL
 from gleanery.operators.filters import string_form
 from gleanery.plans.blueprint import Blueprint
 from gleanery.plans.run import all_pages
@@ -56,12 +57,12 @@ def stream_items(
         key = bp.dedup_key if bp.dedup else None
         old = spark.read.schema("key string, batch bigint").option("recursiveFileLookup", True).parquet(state) if _exists(spark, state) else spark.createDataFrame([], "key string, batch bigint")
         items = all_pages(bp, df)
-        judged = sink.judged(items, key, bp.rules if bp.filter else (), old.where(F.col("batch") < number))
+        judged = sink.judged(items, key, bp.rules if bp.filter else (), old.where(F.col("batch") < number), ORDER)
         judged, _ = write_shared(judged, "batch")
         if key is not None:
-            keys = judged.where("_first").select(string_form(judged, key).alias("key"), F.lit(number).cast("bigint").alias("batch")).where("key <> ''")
+            keys = judged.where(F.col(FIRST)).select(string_form(judged, key).alias("key"), F.lit(number).cast("bigint").alias("batch")).where("key <> ''")
             keys.write.mode("overwrite").parquet(f"{state}/n{number}")
-        emit(judged.where("_kept").drop("_first", "_kept", *sink.ORDER), number)
+        emit(judged.where(F.col(KEPT)).drop(FIRST, KEPT, PAGE_URL, *ORDER), number)
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -80,7 +81,3 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minu
     got = df.groupBy(F.window(time, window).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return got.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "total")
 
-
-def distinct_stream(items: DataFrame, key: str) -> DataFrame:
-    """A stream's rows without repeated keys, by the engine's own state; which of equal rows wins isn't fixed."""
-    return items.dropDuplicates([key])

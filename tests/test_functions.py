@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import coerce, heuristics, jsonpath, text, urls
-from gleanery.sources import pages as page_sources
+from gleanery.sources import guard
 
 ABSOLUTE = [
     ("https://a.com/x", "https://b.com/y", "https://b.com/y"),
@@ -124,4 +124,4 @@ def test_json(spark):
     ("http://127.0.0.1:80", True, ("127.0.0.1",), False), ("http://[::1]/", True, (), True), ("http://172.32.0.1/", True, (), False), ("javascript:x", True, (), True), ("x", False, (), True),
 ])
 def test_guard(spark, url, block, allow, bad):
-    assert (one(spark, page_sources.refused(F.lit(url), block, allow)) is not None) == bad
+    assert (one(spark, guard.refused(F.lit(url), block, allow)) is not None) == bad

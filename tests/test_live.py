@@ -3,11 +3,13 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.__main__ import main, robot
-from gleanery.plans.blueprint import Blueprint, Field, Http
+from gleanery.plans.blueprint import Blueprint, Field, Http, InfiniteScroll
 from gleanery.sinks.emit import Webhook, batches, emit, upsert_statements
-from gleanery.sources.fetch import BotBlocked, climb, fetch
+from gleanery.sources.fetch import BotBlocked, climb, fetch, fetch_through
+from gleanery.sources.pages import scroll_requests
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,28 @@ def test_fetch(spark, site):
     assert fetch(asked.limit(0)).count() == 0
 
 
+def test_cache_before_fetching(spark, site):
+    url, posted = site
+    http = Http(retry_count=1, timeout=5)
+    asked = spark.createDataFrame([(f"{url}/ok", "GET", None), (f"{url}/none", "GET", None), (f"{url}/ok", "POST", "{}")], "url string, method string, body string")
+    store = spark.createDataFrame(fetch(asked.where("method = 'GET'"), http).collect(), fetch(asked, http).schema)
+    got = sorted((r["url"][-4:], r["status"], r["hit"], r["html"]) for r in fetch_through(asked, store, 600, http=http).collect())
+    # answers that failed aren't kept, and only plain GET requests are looked up
+    assert got == sorted([(f"{url}/ok"[-4:], 200, True, "<p>None</p>"), (f"{url}/ok"[-4:], 204, False, ""), ("none", 404, False, "gone")])
+    assert posted.pop() == {}
+    old = store.withColumn("fetched_at", F.expr("fetched_at - INTERVAL 1 DAY"))
+    assert not any(r["hit"] for r in fetch_through(asked, old, 600, http=http).collect()) and any(r["hit"] for r in fetch_through(asked, old, 0, http=http).collect())
+    posted.clear()
+
+
+def test_scroll_requests_carry_the_token(spark):
+    bp = Blueprint(url="https://s.com/", infinite_scroll=InfiniteScroll("https://s.com/more", token_css="meta[name=csrf]", token_attribute="content", start=20))
+    pages = spark.createDataFrame([("https://s.com/", "<meta name=csrf content=' t1 '>"), ("https://s.com/x", "<meta name=csrf content=no>")], "url string, html string")
+    got = scroll_requests(spark, bp, pages, 2)
+    assert [(r["value"], r["body"]) for r in got] == [(20, "page=20&_token=t1"), (40, "page=40&_token=t1")]
+    assert scroll_requests(spark, bp, pages.limit(0), 1)[0]["body"] == "page=20" and scroll_requests(spark, Blueprint(), pages, 3) == []
+
+
 def test_ladder():
     tried = []
 
@@ -92,7 +116,8 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert main(["validate", "x"]) == 0 and main(["run", "x", "--pages", f"{tmp_path}/pages.parquet", "--limit", "1"]) == 0
     assert json.loads(capsys.readouterr().out) == [{"link": "https://s.com/a"}]
     assert main(["shell", "p.html", "a", "--attribute", "href"]) == 0 and capsys.readouterr().out == "/a\n/b\n"
-    assert main(["generate", "p.html", "--url", "https://s.com/"]) == 0
+    assert main(["generate", "p.html", "--url", "https://s.com/"]) == 1 and "scripts" in capsys.readouterr().err
+    assert main(["generate", "p.html", "--url", "https://s.com/", "--single-page"]) == 0
     assert Blueprint.load(capsys.readouterr().out).url == "https://s.com/"
     assert "BLUEPRINT" in robot("x", bp.dump()) and main(["robot", "x", "x"]) == 0
     with pytest.raises(SystemExit):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import filters, images, pipeline, shape, sink
 from gleanery.plans import infer, run
+from gleanery.plans.presets import preset
 from gleanery.plans.blueprint import Api, ApiDetail, Blueprint, Field, InfiniteScroll, Output, Pagination, Rule, Source
 from gleanery.sinks import export
 from gleanery.sources import pages as page_sources
@@ -80,7 +81,7 @@ def pages(spark):
 
 
 def test_html_run(spark):
-    got = run.run_html(spark, BP, pages(spark))
+    got = run.run_html(spark, BP, pages(spark), ordered=True)
     assert [r["link"] for r in got.collect()] == ["https://s.com/a", "https://s.com/b", "https://s.com/c"]
     bp = BP.but(scrape_detail=True, detail_link_field="link", detail_fields=(Field("title", "h1"), Field("size", label="Size")))
     rows = {r["link"][-1]: (r["size"], r["title"]) for r in run.run_html(spark, bp, pages(spark)).collect()}
@@ -96,14 +97,14 @@ def test_html_run(spark):
 
 def test_sources_tags_and_output(spark):
     bp = BP.but(pagination=Pagination(), sources=(Source("", {"kind": "one"}, 1), Source("2", {"kind": "two", "n": 3})), output=Output(exclude=("size",), rename={"link": "url"}))
-    rows = run.run_html(spark, bp, pages(spark)).collect()
+    rows = run.run_html(spark, bp, pages(spark), ordered=True).collect()
     assert [(r["url"][-1], r["kind"], r["n"]) for r in rows] == [("a", "one", None), ("b", "two", 3), ("c", "two", 3)]
 
 
 def test_infinite_scroll(spark):
     bp = BP.but(pagination=Pagination("infinite_scroll"), infinite_scroll=InfiniteScroll(start=20, page_size=20), dedup=False)
     scrolled = spark.createDataFrame([(20, item("p")), (40, item("q")), (60, "<p>"), (80, item("r"))], "value bigint, html string")
-    got = [r["size"] for r in run.run_html(spark, bp, pages(spark), scrolled=scrolled).collect()]
+    got = [r["size"] for r in run.run_html(spark, bp, pages(spark), scrolled=scrolled, ordered=True).collect()]
     assert got == ["a", "b", "p", "q"]
     assert [bp.infinite_scroll.value(i) for i in (0, 1)] == [20, 40]
 
@@ -117,7 +118,7 @@ API = Blueprint(url="https://a.com", mode="api", api=Api(endpoint="https://a.com
 
 
 def ids(df):
-    return [r["id"] for r in df.collect()]
+    return sorted(r["id"] for r in df.collect())
 
 
 def test_api_run(spark):
@@ -137,6 +138,80 @@ def test_api_run(spark):
     assert ids(run.run_api(spark, API.but(max_pages=1), responses(spark, [page(1), page(2)]))) == ["1"]
 
 
+ODD_NAMES = ("total", "page_url", "item_ord", "_first", "source_ord", "url", "doc", "_kept", "key")
+
+
+def test_fields_of_any_name(spark):
+    """The engine's own columns clash with no field, in either mode, with tags, details, quotas and filters."""
+    records = [{n: f"{n}{i}" for n in ODD_NAMES} for i in range(3)]
+    fields = tuple(Field(n, n, type="json") for n in ODD_NAMES)
+    bp = API.but(api=Api(endpoint="e", items_path="r", page_param="p", total_path="t", detail=ApiDetail(True, "https://a.com/{total}")), fields=fields, detail_fields=(Field("_found", "x", type="json"), Field("_link", "x", type="json")), dedup_key="total")
+    details = spark.createDataFrame([("https://a.com/total1", '{"x": "5"}')], "url string, body string")
+    for more in ({}, {"sources": (Source("", {"kind": "a"}, 2),)}, {"max_items": 2}):
+        rows = run.run_api(spark, bp.but(**more), responses(spark, [{"r": records, "t": 3}]), details).collect()
+        assert len(rows) == (2 if more else 3) and all(r[n].endswith(f"{n}{r['total'][-1]}") for r in rows for n in ODD_NAMES)
+        assert {r["total"]: r["_found"] for r in rows}["total1"] == "5"
+    html = "".join(f"<div class=i>{''.join(f'<b class={n}>{n}{i}</b>' for n in ODD_NAMES)}</div>" for i in range(3))
+    page = spark.createDataFrame([("https://s.com/", html)], "url string, html string")
+    fields = tuple(Field(n, f".{n}") for n in ODD_NAMES)
+    for more in ({}, {"sources": (Source("", {"item": "a"}, 2),)}, {"max_items": 2}):
+        rows = run.run_html(spark, Blueprint(url="https://s.com/", item_selector=".i", fields=fields, dedup=True, dedup_key="total", **more), page).collect()
+        assert len(rows) == (2 if more else 3)
+        assert all(r[n].endswith(f"{n}{r['total'][-1]}") for r in rows for n in ODD_NAMES)
+    with pytest.raises(ValueError, match="~a"):
+        run.run_html(spark, BP.but(fields=(Field("~a", "b"),)), page)
+
+
+def test_pages_are_parsed_once(spark):
+    """Four sources with quotas and details: no page goes through the parser twice."""
+    from gleanery.dom import extract as stage
+
+    read = spark.sparkContext.accumulator(0)
+    old = stage.parse
+
+    def counted(html):
+        read.add(1)
+        return old(html)
+
+    listed = [(f"https://s.com/{i}", "".join(item(f"d{i}{j}") for j in range(5))) for i in range(4)]
+    source = spark.createDataFrame(listed + [(f"https://s.com/d{i}{j}", "<h1>T</h1>") for i in range(4) for j in range(5)], "url string, html string")
+    bp = BP.but(pagination=Pagination(), sources=tuple(Source(str(i), {}, 3) for i in range(4)), scrape_detail=True, detail_link_field="link", detail_fields=(Field("title", "h1"),))
+    stage.parse = counted
+    try:
+        assert run.run_html(spark, bp, source).count() == 12
+    finally:
+        stage.parse = old
+    assert 0 < read.value <= 24
+
+
+def test_api_plan_moves_no_payload(spark):
+    plan = run.api_records(API, responses(spark, [{"r": [{"id": 1}]}]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_page_numbers(spark):
+    page = lambda *n: json.dumps({"r": [{"id": i} for i in n]})
+    rows = [(0, 0, page(1)), (0, 1, page(2)), (0, 3, page(3)), (1, 1, page(9)), (2, 0, page(4)), (2, 1, page(5)), (2, 1, page(6))]
+    df = spark.createDataFrame(rows, "source_ord bigint, page_ord bigint, body string")
+    assert ids(run.run_api(spark, API, df)) == ["1", "2", "4"]
+
+
+def test_running_sums(spark):
+    rows = [(s, p, (7 * p + s) % 5) for s in range(3) for p in range(50)]
+    got = run._running(spark.createDataFrame(rows, "s bigint, p bigint, v bigint"), "v", ("s", "p"), 8).collect()
+    want = dict(zip([r[:2] for r in rows], itertools.accumulate(r[2] for r in rows)))
+    assert {(r["s"], r["p"]): r["~sum"] for r in got} == want
+
+
+def test_numbers_stay_numbers(spark):
+    from gleanery.operators.pipeline import coerced
+
+    df = spark.createDataFrame([(1.5e7, 12345678.25, 1e-05, 7, [1.5e7, -2.5]), (None, None, None, None, None)], "a double, b double, c double, d bigint, l array<double>")
+    r = coerced(df, {"a": "int", "b": "float", "c": "float", "d": "float", "l": "int[]"}).collect()
+    assert tuple(r[0]) == (15_000_000, 12345678.25, 1e-05, 7.0, [15_000_000, -2]) and tuple(r[1]) == (None,) * 5
+    assert tuple(coerced(df, {"a": "bool", "d": "int", "c": "int"}).first())[:4] == (False, 12345678.25, 0, 7)
+
+
 def test_api_detail_and_coercion(spark):
     bp = API.but(
         api=Api(endpoint="e", items_path="r", detail=ApiDetail(True, "https://a.com/d/{id}")), detail_fields=(Field("price", "price", type="json"),), item_schema={"price": "float"},
@@ -161,7 +236,7 @@ def test_requests():
 
 
 def test_pipeline(spark):
-    df = spark.createDataFrame([("https://a.com/x/y", " t \n u ", "p", ["i.jpg", ""], None)], "page_url string, title string, link string, images array<string>, image string")
+    df = spark.createDataFrame([("https://a.com/x/y", " t \n u ", "p", ["i.jpg", ""], None)], "`~page_url` string, title string, link string, images array<string>, image string")
     r = pipeline.apply(df, pipeline.build((), {})).first()
     assert (r["title"], r["link"], r["images"], r["image"]) == ("t u", "https://a.com/p", ["https://a.com/x/i.jpg", ""], None)
     assert pipeline.apply(df, pipeline.build((), {}, "cdn")).first()["images"][0] == "https://a.com/cdn/i.jpg"
@@ -240,13 +315,20 @@ def test_validate_and_builder():
     assert len(bp.fields) == 1 and bp.filter and bp.validate() == ([], [])
     bad, odd = bp.but(scrape_detail=True, item_schema={"link": "date"}, pipeline=("odd",), pagination=Pagination("infinite_scroll")).validate()
     assert len(bad) == 3 and len(odd) == 1
-    assert infer.preset("auctions")["rate"] == 0.6 and infer.safety_cap(bp.but(sources=(Source("a", {}, 2), Source("b", {}, 3)))) == 10
+    assert preset("auctions").rate == 0.6 and preset("none") == preset("generic") and "leilao" in preset("auctions").endpoints
+    assert infer.safety_cap(bp.but(sources=(Source("a", {}, 5), Source("b")))) == 10 and infer.safety_cap(bp) == 0
+    assert any("unknown type" in e for e in bp.but(fields=(Field("a", "b", type="odd"),)).validate()[0])
+    assert infer.safety_cap(bp.but(sources=(Source("a", {}, 2), Source("b", {}, 3)))) == 10
 
 
 def test_statistics_cache_throttle(spark):
     df = spark.createDataFrame([(0, 0, 0, "a", "1"), (0, 0, 1, "a", "1"), (0, 0, 2, "b", "")], "source_ord bigint, page_ord bigint, item_ord bigint, k string, good string")
-    got = run.statistics(sink.judged(df, "k", (Rule("good"),)), pages=1).first()
+    got = run.statistics(sink.judged(df, "k", (Rule("good"),)), 90.5, pages_fetched=1, cache_hits=2).first()
     assert (got["items_found"], got["items_deduped"], got["items_filtered"], got["items_scraped"]) == (3, 1, 1, 1)
+    assert (got["pages_fetched"], got["details_failed"], got["elapsed_s"], got["items_per_s"]) == (1, 0, 90.5, 0.0)
+    assert run.summary(got.asDict()).splitlines() == ["items scraped: 1 in 1m30s (0.0/s)", "pages: 1 fetched, 0 failed", "filtered out: 1 items", "repeated: 1 items", "cache: 2 hits, 0 misses"]
+    with pytest.raises(ValueError):
+        run.statistics(sink.judged(df, "k", ()), pages=1)
     asked = spark.createDataFrame([("u", 0.0), ("u", 50.0), ("u", 100.0), ("u", 120.0)], "url string, at double")
     hits = [r["hit"] for r in page_sources.replayed(asked, 100).orderBy("at").collect()]
     assert hits == [False, True, False, True]
@@ -266,6 +348,92 @@ def test_corpus_inference(spark):
     assert infer.best_response(captured).first()["url"] == "https://a/y"
 
 
+def test_captured_responses(spark):
+    rows = [
+        ("https://a/api/collections?page=3&q=1", "GET", '[{"a": 1, "b": 2, "c": 3}]'), ("https://a/api/tracks", "GET", '[{"a": 1, "b": 2}]'),
+        ("https://a/_next/data/h/x.json", "GET", '[{"a": 1, "b": 2, "c": 3, "d": 4}]'), ("https://a/manifest.json?v=1", "GET", '[{"a": 1, "b": 2, "c": 3, "d": 4}]'), (None, "GET", "[]"),
+    ]
+    df = spark.createDataFrame(rows, "url string, method string, body string")
+    assert infer.best_response(df).first()["url"] == "https://a/api/collections?q=1"
+    assert sorted(r["url"] for r in infer.judged_responses(df).collect()) == ["https://a/api/collections?q=1", "https://a/api/tracks"]
+    html = "<script>fetch('/x/y'); get('/api/v1/list/items')</script>"
+    captured = [dict(zip(("url", "method", "body"), r)) for r in rows if r[0]]
+    assert infer.discovered("https://a/", html, captured) == ["https://a/api/collections?q=1", "https://a/api/tracks", "https://a/api/v1/list/items", "https://a/x/y"]
+    pages = spark.createDataFrame([("https://a/", html)], "url string, html string")
+    found = infer.discovered_endpoints(pages, df.withColumn("page_url", F.lit("https://a/"))).orderBy("rank").collect()
+    assert [r["endpoint"] for r in found] == ["https://a/api/collections?q=1", "https://a/api/tracks", "https://a/api/v1/list/items", "https://a/x/y"]
+    assert infer.hinted(["https://a/x", "https://a/search"], 1) == ["https://a/search"]
+
+
+def test_paging_of_endpoints():
+    from gleanery.functions.urls import paging_py, without_page_params_py
+
+    assert paging_py("https://a/Get/1/20") == {"endpoint": "https://a/Get/{page}/{page_size}", "start_page": 1, "page_size": 20}
+    assert paging_py("https://a/x?limit=50") == {"endpoint": "https://a/x?limit=50", "page_param": "offset", "page_size": 50}
+    assert paging_py("https://a/x?limit=0")["page_param"] == "page" and paging_py("https://a/x")["page_size"] == 100
+    assert without_page_params_py("https://a/x?Page=2&q=1&from=3#f") == "https://a/x?q=1#f" and without_page_params_py("https://a/x?start=1") == "https://a/x"
+    bp = infer.from_response("https://a/x?offset=40&limit=20", '{"r": [{"id": 1, "photo": "p"}]}')
+    assert (bp.api.endpoint, bp.api.page_param, bp.api.page_size, bp.api.items_path) == ("https://a/x?limit=20", "offset", 20, "r")
+    assert infer.from_response("https://a", '{"a": {"b": [{"id": 1}]}, "r": [{"x": 1}, {"x": 2}]}', "a.b").fields[0].name == "id"
+    assert infer.from_response("https://a", '{"a": 1}', "a.b") is None
+
+
+def test_generate_command(tmp_path, capsys):
+    from test_dom import cards
+
+    from gleanery.__main__ import main
+
+    (tmp_path / "p.html").write_text(cards(9))
+    (tmp_path / "d.html").write_text("<body><main><h1>One</h1><p><b>Weight:</b> 5 kg</p><p>" + "long text " * 20 + "</p></main></body>")
+    ask = ["generate", str(tmp_path / "p.html"), "--url", "https://h.com/"]
+    options = [
+        "--max-pages", "3", "--http-timeout", "9", "--header", "A: b:c", "--cookie", "x=1; y=2", "--output-format", "csv", "--stream", "--search-filters", '["a", {"url": "b", "limit": 4, "k": "v"}]',
+        "--get-detail", str(tmp_path / "d.html"), "--preset", "ecommerce", "--dedup-key", "title", "--browser-wait-for", ".card", "--get-all-images", "--resumable", "--page-delay", "7",
+    ]
+    assert main([*ask, *options]) == 0
+    bp = Blueprint.load(capsys.readouterr().out)
+    assert (bp.max_pages, bp.http.timeout, bp.http.headers["A"], bp.http.cookies, bp.output.format, bp.output.stream) == (3, 9, "b:c", {"x": "1", "y": "2"}, "csv", True)
+    assert (bp.max_items, bp.sources[1].limit, bp.dedup_key, bp.http.transport, bp.all_images, bp.resumable, bp.delay_between_pages_ms) == (8, 4, "title", "browser", True, True, 7)
+    assert bp.item_schema == {"price": "float", "rating": "float"} and bp.scrape_detail and any(f.label == "Weight" for f in bp.detail_fields)
+    assert main([*ask, "--fields", "link", "--no-dedup", "--blueprint", str(tmp_path / "b.json")]) == 0 and main([*ask, "--blueprint", str(tmp_path / "b.json")]) == 1
+    kept = Blueprint.load((tmp_path / "b.json").read_text())
+    assert [f.name for f in kept.fields] == ["link"] and not kept.dedup
+    (tmp_path / "r.json").write_text('{"data": [{"id": 1, "name": "x"}]}')
+    assert main(["generate", str(tmp_path / "r.json"), "--url", "https://h.com/", "--api-endpoint", "https://h.com/api/1/10", "--api-items-path", "data"]) == 0
+    api = Blueprint.load(capsys.readouterr().out)
+    assert (api.url, api.api.endpoint, api.api.start_page) == ("https://h.com/", "https://h.com/api/{page}/{page_size}", 1)
+
+
+def test_file_stream(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1), ("é", None)], "t string, n int").coalesce(1)
+    for kind, want in (("json", '[\n  {"t":"A","n":1},\n  {"t":"é","n":null},\n  {"u":2}\n]\n'), ("jsonl", '{"t":"A","n":1}\n{"t":"é","n":null}\n{"u":2}\n'), ("csv", "t,n,u\nA,1,\né,,\n,,2\n")):
+        out = export.FileStream(f"{tmp_path}/x/{kind}", kind)
+        out.write(df)
+        out.write(spark.createDataFrame([(2,)], "u int"))
+        out.close()
+        assert open(f"{tmp_path}/x/{kind}", encoding="utf-8").read() == want
+    export.FileStream(f"{tmp_path}/empty", "json").close()
+    assert open(f"{tmp_path}/empty").read() == "[\n]\n"
+
+
+PRIVATE = ["localhost", "2130706433", "127.1", "[::ffff:169.254.169.254]", "[::ffff:172.16.0.1]", "[0:0:0:0:0:0:0:1]", "10.0.0.5", "[::1]", "0x7f000001", "169.254.169.254", "[64:ff9b::10.0.0.1]", "0.0.0.0", "100.64.0.1", "１２７.0.0.1", "a.localhost"]
+PUBLIC = ["1.1.1.1", "8.8.8.8", "[2606:4700:4700::1111]", "example.com", "1.1.1.1.example.com", "16843009"]
+
+
+def test_guard(spark, monkeypatch):
+    from gleanery.sources import guard
+
+    rows = [(f"http://{h}:80/x",) for h in PRIVATE + PUBLIC]
+    got = [r[0] for r in spark.createDataFrame(rows, "u string").coalesce(1).select(guard.refused(F.col("u"), True)).collect()]
+    assert all(got[: len(PRIVATE)]) and not any(got[len(PRIVATE) :]) and "10.0.0.5" in got[PRIVATE.index("10.0.0.5")]
+    assert [guard.reason(u, True, resolve=False) for (u,) in rows] == got
+    assert guard.reason("http://localhost:6379/", True, ("LOCALHOST",)) is None and guard.reason("http://127.0.0.1/", False) is None
+    assert guard.reason("file:///etc/passwd") and guard.reason("gopher://evil/") and guard.reason(None) and guard.reason("http:///x", True) == "no host"
+    asked = []
+    monkeypatch.setattr(guard.socket, "getaddrinfo", lambda h, *a, **k: asked.append(h) or [(2, 1, 6, "", ("10.1.2.3", 0))])
+    assert [guard.reason(f"http://inner.test/{i}", True) for i in range(3)] == ["private address 10.1.2.3"] * 3 and asked == ["inner.test"]
+
+
 def test_streaming(spark, tmp_path):
     folder = tmp_path / "pages"
     first = pages(spark).where("url LIKE '%.com/'").coalesce(1)
