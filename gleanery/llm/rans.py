@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, flat
+from gleanery.llm.common import arrow_schema, flat, slices
 from gleanery.scratch import write_shared
 
 BLOCK = 65536
@@ -38,6 +38,8 @@ PATTERN = r"'(?:[sdmt]|ll|re|ve)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _DENSE = 1 << 20
 #: ids coded as one vector of steps
 GROUP = 1 << 22
+#: bytes of text tokenized, and ids counted, at a time
+_SLICE = 1 << 20
 _LOW = np.uint64(1 << 32)
 _WORD = np.uint64(32)
 
@@ -128,8 +130,10 @@ def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     else:
         data, offsets = flat(col)
     rows = len(offsets) - 1
-    out = np.full(len(data) + rows, END, np.int64)
-    out[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets))] = data
+    out = np.empty(len(data) + rows, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[offsets[1:] + np.arange(rows)] = False
+    out[inside], out[~inside] = data, END
     return out, offsets[:-1] + np.arange(rows)
 
 
@@ -160,10 +164,12 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
     def run(batches):
         coder = _coder(ranks.value)
         for batch in batches:
-            ids = [np.asarray(coder.encode_ordinary(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=out)
+            for start, count in slices(batch.column(1), _SLICE):
+                texts = batch.column(1).slice(start, count).to_pylist()
+                ids = [np.asarray(coder.encode_ordinary(t), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, count), lists], schema=out)
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
 
@@ -181,12 +187,13 @@ def table(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.nda
     def count(batches):
         total, rare = np.zeros(_DENSE, np.int64), {}
         for batch in batches:
-            ids, _ = _ids(batch.column(0))
-            low = (ids >= 0) & (ids < _DENSE)
-            n = np.bincount(ids[low])
-            total[: len(n)] += n
-            for i, k in zip(*np.unique(ids[~low], return_counts=True)):
-                rare[int(i)] = rare.get(int(i), 0) + int(k)
+            for part in _runs(batch.column(0), _SLICE):
+                ids, _ = _ids(part)
+                low = (ids >= 0) & (ids < _DENSE)
+                n = np.bincount(ids[low])
+                total[: len(n)] += n
+                for i, k in zip(*np.unique(ids[~low], return_counts=True)):
+                    rare[int(i)] = rare.get(int(i), 0) + int(k)
         seen = np.flatnonzero(total)
         if len(seen) or rare:
             cols = [np.concatenate((seen, np.array(list(rare), np.int64))), np.concatenate((total[seen], np.array(list(rare.values()), np.int64)))]
@@ -247,11 +254,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: in
         ids, freq, lookup = shared.value
         stream = TaskContext.get().partitionId() << 32
         for batch in batches:
-            text = batch.column(1)
             at = 0
-            while at < batch.num_rows:
-                count = _upto(text.slice(at), group)
-                found, starts = _ids(text.slice(at, count))
+            for part in _runs(batch.column(1), group):
+                count = len(part)
+                found, starts = _ids(part)
                 low = (found >= 0) & (found < len(lookup))
                 sym = lookup[np.where(low, found, 0)]
                 sym[~low] = np.searchsorted(ids, found[~low])
@@ -264,11 +270,15 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: in
     return spark.createDataFrame(head, schema).unionByName(blocks)
 
 
-def _upto(col: pa.Array, most: int) -> int:
-    """How many first rows hold about ``most`` ids; one at least."""
+def _runs(col: pa.Array, most: int):
+    """Runs of whole rows that hold about ``most`` ids; a longer row stands alone."""
     size = col.value_lengths() if pa.types.is_list(col.type) else pc.binary_length(col)
     ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    return max(1, int(np.searchsorted(ends, most, "right")))
+    at = 0
+    while at < len(col):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield col.slice(at, stop - at)
+        at = stop
 
 
 def _rows(found, sym, starts, doc_ids, stream, freq, bits, crc, out):
