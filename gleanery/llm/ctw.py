@@ -326,9 +326,13 @@ def _by_blocks(base: DataFrame, table: DataFrame, blocks: int, depth: int, score
         return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
     def distinct(part: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
+        kept, held = [np.zeros(0, np.uint64)], 0
         for _, _, grams, _ in _pieces(whole(part.column("t")), depth):
-            found = np.union1d(found, grams)
+            kept.append(np.unique(grams))
+            held += len(kept[-1])
+            if held > BUFFER:
+                kept, held = [np.unique(np.concatenate(kept))], 0
+        found = np.unique(np.concatenate(kept))
         key = part.column("block")[0].as_py()
         return pa.Table.from_arrays([pa.array(np.full(len(found), key)), pa.array(found.astype(np.int64))], schema=need_out)
 
