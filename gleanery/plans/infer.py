@@ -529,6 +529,19 @@ def discovered(url: str, html: str, captured: list[dict] | None = None) -> list[
     return list(dict.fromkeys([*found, *endpoints_of(url, html)]))
 
 
+def to_try(url: str, html: str, captured: list[dict] | None = None) -> list[str]:
+    """The endpoints to ask for data, as many as are worth the requests."""
+    return discovered(url, html, captured)[:TRIED]
+
+
+def scripts_to_read(url: str, html: str) -> list[str]:
+    """Addresses of the page's own scripts that endpoints are looked for in: those of its host, hinted ones first."""
+    from gleanery.functions.urls import absolute_py, fetchable_py, host_py
+
+    named = [absolute_py(url, s.get("src")) for s in parse(html).find("script") if s.get("src").strip()]
+    return hinted([u for u in dict.fromkeys(named) if u and fetchable_py(u) and host_py(u) == host_py(url)], SCRIPTS)
+
+
 def discovered_endpoints(pages: DataFrame, captured: DataFrame | None = None) -> DataFrame:
     """``(page_url, endpoint, rank)``: what ``pages(url, html)``, and ``captured(page_url, url, method, body)``, name, hinted ones first."""
     from gleanery.functions.heuristics import endpoints

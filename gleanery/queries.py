@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from gleanery.columns import ITEM, PAGE_URL
 from gleanery.dom.extract import label_values, markdown, select_all
 from gleanery.functions import coerce, heuristics, jsonpath, text, urls
-from gleanery.operators import filters, images, shape, sink
+from gleanery.operators import filters, images, pipeline, shape, sink
 from gleanery.plans import infer, run
 from gleanery.plans.blueprint import Api, ApiDetail, Blueprint, Field, InfiniteScroll, Output, Pagination, Rule, Source
-from gleanery.sinks import export
+from gleanery.sinks import emit, export
 from gleanery.sources import guard, requests
 from gleanery.sources import pages as page_sources
 from gleanery.streaming.incremental import event_counts
@@ -596,3 +596,232 @@ def safety_caps(spark, sf_dir):
 def inferred_blueprints(spark, sf_dir):
     """The blueprint that most pages of a host propose."""
     return infer.infer(_t(spark, sf_dir, "pages"))
+
+
+# whole runs over larger tables, and parts that the runs above don't show
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    """A list page a nation and a detail page for every second customer, as fetched pages."""
+    c = _t(spark, sf_dir, "customer")
+    card = F.concat(F.lit("<div class='card'><a href='c/"), F.col("c_custkey").cast("string"), F.lit("'> "), F.col("c_name"), F.lit("</a></div>"))
+    lists = c.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("c_custkey", card.alias("h")))).getField("h"), "").alias("html"))
+    lists = lists.select(F.concat(F.lit("https://shop.example.com/n"), F.col("c_nationkey").cast("string")).alias("url"), "html")
+    detail = F.concat(F.lit("<dl><dt>Segment</dt><dd>"), F.col("c_mktsegment"), F.lit("</dd></dl><p>Balance: "), F.format_string("%.2f", "c_acctbal"), F.lit("</p>"))
+    details = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("https://shop.example.com/c/"), F.col("c_custkey").cast("string")).alias("url"), detail.alias("html"))
+    return lists.unionByName(details)
+
+
+_CATALOGUE = Blueprint(
+    url="https://shop.example.com", item_selector=".card", fields=(Field("link", "a", "href"), Field("name", "a")), sources=tuple(Source(f"n{i}", {"nation": i}) for i in range(25)),
+    scrape_detail=True, detail_link_field="link", detail_fields=(Field("segment", label="Segment"), Field("balance", label="Balance")), item_schema={"balance": "float"}, dedup=True,
+)
+
+
+@_query("""
+    SELECT 'https://shop.example.com/c/' || c_custkey AS link, c_name AS name, c_nationkey::INTEGER AS nation,
+        CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 2) END AS balance FROM customer
+""")
+def html_catalogue(spark, sf_dir):
+    """A whole HTML run of 25 sources with tags and details over all customers."""
+    return run.run_html(spark, _CATALOGUE, _customers(spark, sf_dir))
+
+
+@_query("""
+    SELECT 'https://shop.example.com/c/' || c_custkey AS link, c_nationkey::INTEGER AS nation FROM customer WHERE c_custkey % 3 <> 0
+""")
+def resumed_run(spark, sf_dir):
+    """The same run after an earlier one that took every third customer."""
+    done = _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("https://shop.example.com/c/"), F.col("c_custkey").cast("string")).alias("key"))
+    return run.run_html(spark, _CATALOGUE.but(scrape_detail=False), _customers(spark, sf_dir), seen=done).select("link", "nation")
+
+
+@_query("SELECT url AS page_url, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<li>'))::INTEGER AS entries FROM pages")
+def page_single(spark, sf_dir):
+    """Each page as one item, by a blueprint that was written as JSON and read again."""
+    bp = Blueprint.load(Blueprint(fields=(Field("title", "title"), Field("entries", "li", multiple=True))).dump())
+    return run.all_pages(bp, _t(spark, sf_dir, "pages")).select(F.col(PAGE_URL).alias("page_url"), "title", F.size("entries").alias("entries"))
+
+
+@_query("""
+    SELECT p_partkey, '## ' || p_name || chr(10) || chr(10) || 'by **' || p_brand || '**, [more](https://a.example.com/p/' || p_partkey || ')' || chr(10) || chr(10)
+        || '- ' || p_type || chr(10) || '- ' || p_size AS md FROM part
+""")
+def part_markdown(spark, sf_dir):
+    """Headings, bold text, links and lists as Markdown."""
+    html = F.concat(
+        F.lit("<nav>menu</nav><h2> "), F.col("p_name"), F.lit("</h2><p>by <b>"), F.col("p_brand"), F.lit("</b>, <a href='/p/"), F.col("p_partkey").cast("string"), F.lit("'>more</a></p><ul><li>"),
+        F.col("p_type"), F.lit("<li>"), F.col("p_size").cast("string"), F.lit("</ul><script>x</script>"),
+    )
+    return _t(spark, sf_dir, "part").select("p_partkey", F.btrim(markdown()(F.lit("https://a.example.com/x"), html), F.lit("\n ")).alias("md"))
+
+
+@_query("SELECT event_id AS id FROM events WHERE event_id < (SELECT ceil(count(*) / 2 / 100.0) * 100 FROM events)")
+def api_total(spark, sf_dir):
+    """A source ends with the page that reaches the total its first page reports: half of all events."""
+    r = _responses(spark, sf_dir)
+    half = F.floor(F.lit(_t(spark, sf_dir, "events").count() / 2)).cast("string")
+    body = F.when(F.col("page_ord") == 0, F.concat(F.lit('{"total": '), half, F.lit(", "), F.expr("substring(body, 2)"))).otherwise(F.col("body"))
+    bp = _EVENTS_API.but(api=Api(endpoint="https://api.example.com/events", items_path="data.results", page_param="page", total_path="total"))
+    return run.run_api(spark, bp, r.withColumn("body", body)).select("id")
+
+
+@_query("SELECT p_partkey::VARCHAR AS key, upper(p_name) AS name, p_size::BIGINT * 2 AS size FROM part")
+def custom_steps(spark, sf_dir):
+    """A pipeline of named steps, two of them the caller's own."""
+    html = F.concat(F.lit("<i> "), F.col("p_partkey").cast("string"), F.lit(" </i><b>"), F.col("p_name"), F.lit("</b><u>"), F.col("p_size").cast("string"), F.lit(" cm</u>"))
+    pages = _t(spark, sf_dir, "part").select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    registry = {"loud": lambda df: df.withColumn("name", F.upper("name")), "double": lambda df: df.withColumn("size", F.col("size") * 2)}
+    df = run.all_pages(Blueprint(fields=(Field("key", "i"), Field("name", "b"), Field("size", "u")), item_schema={"size": "int"}, pipeline=("trim", "nothing")), pages)
+    return pipeline.apply(df, pipeline.build(("loud", "double"), {}, registry=registry)).select("key", "name", "size")
+
+
+@_query("""
+    SELECT sha1(user_id::VARCHAR) AS key, max_by(event_type, (ts, event_id)) AS body FROM events
+    WHERE epoch((SELECT max(ts) FROM events)) - epoch(date_trunc('second', ts)) < 864000 GROUP BY user_id
+""")
+def cache_lookup(spark, sf_dir):
+    """The youngest response of each address that is under ten days old at the time of the last one."""
+    e = _t(spark, sf_dir, "events")
+    last = e.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("m")).first()["m"]
+    one = e.groupBy("user_id", "ts").agg(F.max_by("event_type", "event_id").alias("body"))
+    return page_sources.cached(one.select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"), "body"), 864000, last)
+
+
+@_query("""
+    SELECT DISTINCT p_partkey, floor(i * (p_size - 1)::DOUBLE / greatest(1, least(p_size, 15) - 1) + 0.5)::INTEGER AS place
+    FROM part, LATERAL (SELECT unnest(range(least(p_size, 15))) AS i)
+""")
+def spread_positions(spark, sf_dir):
+    """Which items of a list are looked at: all, or 15 spread evenly."""
+    @F.pandas_udf("array<int>")
+    def places(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: infer.spread(int(k), 15))
+
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(places("p_size")).alias("place"))
+
+
+@_query("""
+    SELECT event_id // 100 AS page_ord, 'data.results' AS path, count(*) AS n, 'at,kinds,user' AS fields FROM events GROUP BY ALL
+""")
+def response_records(spark, sf_dir):
+    """Where each response has its records, how many, and which fields they make."""
+    import json
+
+    @F.pandas_udf("struct<path:string,n:bigint,fields:string>")
+    def found(body: pd.Series) -> pd.DataFrame:
+        got = [infer.record_list(json.loads(b)) for b in body]
+        return pd.DataFrame([(g["path"], g["count"], ",".join(sorted(f.name for f in infer.api_fields(g["sample"])))) for g in got], columns=["path", "n", "fields"])
+
+    return _responses(spark, sf_dir).select("page_ord", found("body").alias("f")).select("page_ord", "f.path", "f.n", "f.fields")
+
+
+@_query("SELECT name, row_number() OVER (ORDER BY first)::BIGINT AS place FROM (SELECT event_type AS name, min(event_id) AS first FROM events GROUP BY 1)")
+def union_columns(spark, sf_dir):
+    """Column names in the order in which rows first have them."""
+    names = export.union_header(_t(spark, sf_dir, "events").select("event_id", F.array("event_type", "event_type").alias("has")), "has", ("event_id",))
+    return spark.createDataFrame(list(zip(names, range(1, len(names) + 1))), "name string, place bigint")
+
+
+@_query("""
+    SELECT p_partkey, 'a_b' || p_partkey || '.png' AS plain, sha1(p_name) || '.jpeg' AS hashed, sha1('https://a.example.com/') || '.gif' AS bare FROM part
+""")
+def image_names(spark, sf_dir):
+    """Names of stored images, from their address or their bytes."""
+    data, gif = F.col("p_name").cast("binary"), F.unhex(F.lit("474946383961"))
+    at = F.concat(F.lit("https://a.example.com/i/a b"), F.col("p_partkey").cast("string"))
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", heuristics.image_name(F.concat(at, F.lit(".png?x=1")), data).alias("plain"), heuristics.image_name(F.concat(at, F.lit(".jpeg")), data, True).alias("hashed"),
+        heuristics.image_name(F.lit("https://a.example.com/"), gif).alias("bare"),
+    )
+
+
+def _refusing(item: dict) -> None:
+    if item["s_suppkey"] % 10 == 0:
+        raise ValueError("full")
+
+
+@_query("SELECT count(*) FILTER (s_suppkey % 10 <> 0) AS written, count(*) FILTER (s_suppkey % 10 = 0) AS failed FROM supplier")
+def sink_counts(spark, sf_dir):
+    """Items handed to a callback that refuses every tenth."""
+    return spark.createDataFrame([emit.emit(_t(spark, sf_dir, "supplier"), emit.Callback(_refusing))], "written bigint, failed bigint")
+
+
+@_query("""
+    SELECT c_nationkey, CASE WHEN count(*) >= 3 THEN 'div.card' END AS selector, CASE WHEN count(*) >= 3 THEN 'link,title' END AS fields,
+        CASE c_nationkey % 4 WHEN 0 THEN 'next_link' WHEN 1 THEN 'link_list' WHEN 2 THEN 'infinite_scroll' ELSE 'none' END AS paging FROM customer GROUP BY 1
+""")
+def list_detection(spark, sf_dir):
+    """The list that a page repeats, its items' fields and how it goes on: a page a nation, all customers as cards."""
+    from gleanery.dom.tree import parse
+
+    c = _t(spark, sf_dir, "customer")
+    card = F.concat(F.lit("<div class=card><h3><a href='/product-"), F.col("c_custkey").cast("string"), F.lit("'>"), F.col("c_name"), F.lit("</a></h3></div>"))
+    more = F.element_at(F.array(*map(F.lit, ("<a rel=next href=/2>n</a>", "<ul class=pagination><li><a href=/2>2</a></ul>", "<button class=load-more>m</button>", ""))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    pages = c.groupBy("c_nationkey").agg(F.array_join(F.collect_list(card), "").alias("cards")).select("c_nationkey", F.concat(F.lit("<body><main>"), "cards", F.lit("</main>"), more).alias("html"))
+
+    @F.pandas_udf("struct<selector:string,fields:string,paging:string>")
+    def found(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h in html:
+            root = parse(h)
+            got = infer.find_list(root)
+            rows.append((got and got[0], got and ",".join(sorted(f.name for f in infer.fields(got[1]))), infer.find_pagination(root).strategy))
+        return pd.DataFrame(rows, columns=["selector", "fields", "paging"])
+
+    return pages.select("c_nationkey", found("html").alias("f")).select("c_nationkey", "f.selector", "f.fields", "f.paging")
+
+
+@_query("""
+    SELECT p_partkey, 'R$ ' || p_size || ',50' AS price, p_size % 5 || '.5' AS rating, p_brand || ' street' AS address, p_type AS weight FROM part
+""")
+def field_finders(spark, sf_dir):
+    """Price, rating, address and labels found in an item, then read by the fields that the finders propose."""
+    from gleanery.dom.extract import record
+    from gleanery.dom.tree import parse
+    from gleanery.plans.presets import preset
+
+    html = F.concat(
+        F.lit("<div class=item><a href='/x-"), F.col("p_partkey").cast("string"), F.lit("'>x</a><span class=cost>R$ "), F.col("p_size").cast("string"), F.lit(",50</span><i data-rating='"),
+        (F.col("p_size") % 5).cast("string"), F.lit(".5'></i><address>"), F.col("p_brand"), F.lit(" street</address><p><b>Weight:</b> "), F.col("p_type"), F.lit("</p></div>"),
+    )
+
+    @F.pandas_udf("struct<price:string,rating:string,address:string,weight:string>")
+    def found(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h in html:
+            sample = parse(h).find("div")[0]
+            fields = tuple(infer.fields(sample, labels=True, using=preset("auctions_pt_BR")))
+            got = dict(zip([f.name for f in fields], record(sample, fields, None)))
+            rows.append([got.get(n) for n in ("price", "rating", "address", "weight")])
+        return pd.DataFrame(rows, columns=["price", "rating", "address", "weight"])
+
+    return _t(spark, sf_dir, "part").select("p_partkey", found(html).alias("f")).select("p_partkey", "f.price", "f.rating", "f.address", "f.weight")
+
+
+@_query("""
+    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://' || regexp_extract(url, '://([^/?#]+)', 1) || '/api/catalog_system/pub/products/search/{search}?_from=0&_to=49' END AS endpoint FROM pages
+""")
+def hosted_shops(spark, sf_dir):
+    """Pages of the hosted shop platform, and the fixed API of each."""
+    html = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<img src='//x.vtexassets.com/a.png'>"))).otherwise(F.col("html"))
+
+    @F.pandas_udf("string")
+    def endpoint(url: pd.Series) -> pd.Series:
+        return url.map(lambda u: infer.hosted_shop(u.replace("http:", "https:")).api.endpoint)
+
+    return _t(spark, sf_dir, "pages").select("page_id", F.when(heuristics.is_hosted_shop(html), endpoint("url")).alias("endpoint"))
+
+
+@_query("""
+    SELECT page_id, rank, endpoint FROM (
+        SELECT page_id, unnest([1, 2, 3]) AS rank, unnest([h || '/api/v1/list/all', h || '/rest/items/' || page_id, h || '/x/' || page_id]) AS endpoint
+        FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS h FROM pages)
+    )
+""")
+def page_endpoints(spark, sf_dir):
+    """Endpoints that pages name, those with a telling word first."""
+    n = F.col("page_id").cast("string")
+    script = F.concat(F.lit("<script>fetch('/x/"), n, F.lit("');a('/api/v1/list/all');a('/rest/items/"), n, F.lit("');a('/api/list/x.css')</script>"))
+    p = _t(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", script).alias("html"))
+    return infer.discovered_endpoints(p).join(p.select("page_id", F.col("url").alias("page_url")), "page_url").select("page_id", "rank", "endpoint")

@@ -14,6 +14,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,9 +48,22 @@ def vendor_of(body: str) -> str | None:
     return next((name for name, marks in VENDORS if any(m in low for m in marks.split("|"))), None)
 
 
-def plain(method: str, url: str, headers: dict, body: str | None, http: Http) -> tuple[int, str]:
-    """One request by the standard library, proxies in turn, cookies as a header."""
-    handlers: list = []
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """Asks before it follows."""
+
+    def __init__(self, check: Callable[[str], str | None]):
+        self.check = check
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        bad = self.check(newurl)
+        if bad:
+            raise BlockedUrl(f"redirect to {newurl}: {bad}")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def plain(method: str, url: str, headers: dict, body: str | None, http: Http, check: Callable[[str], str | None] = lambda url: None) -> tuple[int, str]:
+    """One request by the standard library, proxies in turn, cookies as a header; ``check`` says why a redirect may not be followed."""
+    handlers: list = [_Redirects(check)]
     if http.proxies:
         proxy = next(_turn(http.proxies))
         handlers.append(urllib.request.ProxyHandler({"http": proxy, "https": proxy}))
@@ -113,7 +127,8 @@ def fetch(
     ``html``; null addresses are refused. Rows wait ``delay_ms`` after each other within a partition.
     """
     http = http or Http()
-    ladder = transports or {"http": plain}
+    check = partial(guard.reason, block_private=block_private, allow=allow)
+    ladder = transports or {"http": partial(plain, check=check)}
     have = requests.columns
     df = requests.select(
         "url", (F.col("method") if "method" in have else F.lit("GET")).alias("method"),
@@ -126,7 +141,7 @@ def fetch(
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                began, status, html, error = time.time(), None, None, guard.reason(r["url"], block_private, allow)
+                began, status, html, error = time.time(), None, None, check(r["url"])
                 if error is None:
                     try:
                         status, html = climb(r["url"], ladder, http, r["method"], json.loads(r["headers"] or "{}"), r["body"])

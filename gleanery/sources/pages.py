@@ -77,12 +77,14 @@ def fragments(spark: SparkSession, bp: Blueprint, responses: DataFrame) -> DataF
     got = got.groupBy("page_ord").agg(F.min("html").alias("html"))
     if bp.max_pages > 0:
         got = got.where(F.col("page_ord") <= bp.max_pages - 1)
-    row = Window.orderBy("page_ord")
-    same = F.md5("html") == F.lag(F.md5("html")).over(row)
-    gap = F.col("page_ord") != F.row_number().over(row)
-    # one source's few batches: a window over all of them
-    stop = F.max((F.coalesce(same, F.lit(False)) | gap).cast("int")).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    return got.withColumn("_stop", stop).where("_stop = 0").select("page_ord", F.lit(scroll.endpoint).alias("url"), "html")
+    got, _ = write_shared(got, "fragments")
+    # where it ends is found on hashes alone
+    one = got.select("page_ord", F.md5("html").alias("sign"))
+    before = one.select((F.col("page_ord") + 1).alias("page_ord"), F.col("sign").alias("last"), F.lit(True).alias("there"))
+    bad = F.coalesce(F.col("sign") == F.col("last"), F.lit(False)) | (F.col("page_ord") > 1) & F.col("there").isNull()
+    end = one.join(before, "page_ord", "left").agg(F.min(F.when(bad, F.col("page_ord"))).alias("end"))
+    got = got.crossJoin(F.broadcast(end)).where("end IS NULL OR page_ord < end")  # one row
+    return got.select("page_ord", F.lit(scroll.endpoint).alias("url"), "html")
 
 
 def scroll_requests(spark: SparkSession, bp: Blueprint, pages: DataFrame, count: int) -> list[dict]:

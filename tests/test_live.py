@@ -18,6 +18,11 @@ def site():
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
+            if self.path == "/jump":
+                self.send_response(302)
+                self.send_header("Location", f"http://localhost:{self.server.server_port}/ok")
+                self.end_headers()
+                return
             code = {"/ok": 200, "/blocked": 403}.get(self.path, 404)
             text = {"/ok": f"<p>{self.headers.get('Cookie')}</p>", "/blocked": "cloudflare says no"}.get(self.path, "gone")
             self.send_response(code)
@@ -47,6 +52,10 @@ def test_fetch(spark, site):
     assert "Cloudflare" in got[f"{url}/blocked"]["error"] and got["ftp://x"]["error"] and got[None]["error"] and got["http://127.0.0.1:1/"]["error"]
     assert all("private" in r["error"] for r in fetch(asked.where("url LIKE 'http:%'"), block_private=True).collect())
     assert fetch(asked.limit(0)).count() == 0
+    jump = spark.createDataFrame([(f"{url}/jump",)], "url string")
+    assert fetch(jump, Http(retry_count=1, timeout=5)).first()["status"] == 200
+    kept = fetch(jump, Http(retry_count=1, timeout=5), block_private=True, allow=("127.0.0.1",)).first()
+    assert kept["html"] is None and "redirect" in kept["error"]
 
 
 def test_cache_before_fetching(spark, site):

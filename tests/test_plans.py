@@ -363,6 +363,10 @@ def test_captured_responses(spark):
     found = infer.discovered_endpoints(pages, df.withColumn("page_url", F.lit("https://a/"))).orderBy("rank").collect()
     assert [r["endpoint"] for r in found] == ["https://a/api/collections?q=1", "https://a/api/tracks", "https://a/api/v1/list/items", "https://a/x/y"]
     assert infer.hinted(["https://a/x", "https://a/search"], 1) == ["https://a/search"]
+    many = "".join(f"fetch('/x{i}');" for i in range(20))
+    assert infer.to_try("https://a/", f"<script>{many}</script>") == [f"https://a/x{i}" for i in range(12)]
+    scripts = "".join(f"<script src='/s{i}.js'></script>" for i in range(9)) + "<script src='/search.js'></script><script src='https://cdn/api.js'></script>"
+    assert infer.scripts_to_read("https://a/", scripts) == ["https://a/search.js", *(f"https://a/s{i}.js" for i in range(5))]
 
 
 def test_paging_of_endpoints():
