@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, flat, runs, slices
+from gleanery.llm.common import arrow_schema, flat, runs, slices, tidied
 from gleanery.scratch import drop_shared, write_shared
 
 DEPTH = 4
@@ -128,7 +128,7 @@ def gram_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
             cols = [pa.array(x[i : i + (1 << 17)].astype(np.int64)) for x in table]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
-    return df.mapInArrow(count, schema).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return df.mapInArrow(tidied(count), schema).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _fold(text: str):
@@ -217,7 +217,7 @@ def _head(grams: DataFrame, depth: int) -> list[dict]:
             cols = [np.full(len(key), fold, np.int32), key.astype(np.int64), n0, n1, below]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
 
-    nodes = _partitions(grams, depth).mapInArrow(upper, schema)
+    nodes = _partitions(grams, depth).mapInArrow(tidied(upper), schema)
     nodes = nodes.groupBy("fold", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
     heads = []
     for fold in (0, 1):
@@ -259,7 +259,7 @@ def prices(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         cols = [pa.array(table[0].astype(np.int64)), *(pa.array(b.astype(np.float32)) for b in bits)]
         yield pa.RecordBatch.from_arrays(cols, schema=out)
 
-    return _partitions(grams, depth).mapInArrow(price, schema)
+    return _partitions(grams, depth).mapInArrow(tidied(price), schema)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, flat, runs, slices
+from gleanery.llm.common import arrow_schema, flat, runs, slices, tidied
 
 LONGEST = 3
 TOP = 300
@@ -144,7 +144,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", longest: i
             gram, n = merged(v)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n)], schema=out)
 
-    counts = df.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = df.mapInArrow(tidied(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the `top` largest of each label by a bounded aggregate, not a window over all of a label's grams
     packed = F.struct((-F.col("n")).alias("m"), _spelling(longest).alias("spelling"), F.col("gram"))
     spread = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
@@ -184,7 +184,7 @@ def identify(
     schema, out = arrow_schema(
         f"doc_id {docs.schema[id_col].dataType.simpleString()}, detected string, distance double, runner_up double, rejected boolean"
     )
-    return df.mapInArrow(_identifier(docs, known, text, lang, longest, top, reject, out), schema)
+    return df.mapInArrow(tidied(_identifier(docs, known, text, lang, longest, top, reject, out)), schema)
 
 
 def _identifier(docs, known, text, lang, longest, top, reject, out):
@@ -258,7 +258,7 @@ def keep_identified(
                 cols[label] = judged.column(1).cast(out.field(label).type)
             yield pa.RecordBatch.from_arrays(cols, schema=out).filter(pc.invert(judged.column(4)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 class _Pair:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, flat, slices
+from gleanery.llm.common import arrow_schema, flat, slices, tidied
 from gleanery.scratch import write_shared
 
 BLOCK = 65536
@@ -171,7 +171,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, count), lists], schema=out)
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run, small=False), schema)
 
 
 def token_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -199,7 +199,7 @@ def table(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.nda
             cols = [np.concatenate((seen, np.array(list(rare), np.int64))), np.concatenate((total[seen], np.array(list(rare.values()), np.int64)))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
 
-    got = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, schema).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(tidied(count, small=False), schema).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     return frequencies(dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())), bits) if got.num_rows else None
 
 
@@ -265,7 +265,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: in
                 stream += 1
                 at += count
 
-    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    blocks = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run, small=False), schema)
     head = [(-1, -1, len(ids), [], [], bytearray(packed), crc, bytearray(), [], [], crc)]
     return spark.createDataFrame(head, schema).unionByName(blocks)
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, flat, slices
+from gleanery.llm.common import arrow_schema, flat, slices, tidied
 
 LEAST = 16
 _TOKEN = np.zeros(256, bool)
@@ -301,7 +301,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             cols = [batch.column(0).take(at), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array([h[3] for h in hits])]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(tidied(run), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -340,4 +340,4 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
                     cols[count] = pc.replace_with_mask(cols[count], where, pa.array([len(x) for x in new]).cast(cols[count].type))
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

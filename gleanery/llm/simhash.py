@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_schema, components, flat, free_name, mix64, runs, slices
+from gleanery.llm.common import arrow_schema, components, flat, free_name, mix64, runs, slices, tidied
 from gleanery.scratch import drop_shared, write_shared
 
 RADIUS = 6
@@ -267,7 +267,7 @@ def sign(docs: DataFrame, text: str, keep: list) -> DataFrame:
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(marks.shape[1] * 8), len(n), [None, pa.py_buffer(marks)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra, raw.cast(pa.binary())], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, min_words: int = MIN_WORDS) -> DataFrame:
@@ -298,7 +298,7 @@ def near_edges(signed: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM,
             key = mix64((h1 & kept[of]) ^ mix64(of.astype(np.uint64) + np.uint64(1)))
             yield from _edge_batches(*bucket_edges(key, nodes, near), out)
 
-    return rows.mapInArrow(match, schema).unionByName(sketch_edges(signed, min_words))
+    return rows.mapInArrow(tidied(match), schema).unionByName(sketch_edges(signed, min_words))
 
 
 def _edge_batches(a: np.ndarray, b: np.ndarray, out: pa.Schema):
@@ -331,7 +331,7 @@ def sketch_edges(signed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         near = lambda i, j: _alike([x[i] for x in sketch], [x[j] for x in sketch])
         yield from _edge_batches(*bucket_edges(key, node, near), out2)
 
-    return distinct.mapInArrow(spread, schema).repartition("key").mapInArrow(match, schema2)
+    return distinct.mapInArrow(tidied(spread), schema).repartition("key").mapInArrow(tidied(match), schema2)
 
 
 #: bitmaps of 4 KB that are broadcast at a time

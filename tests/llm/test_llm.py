@@ -516,6 +516,9 @@ def test_rotate(spark):
     assert [bob["chat"][a:b] for a, b in spans] == ["yo<|im_end|>"] * 2 and bob["n_trained"] == 24 and bob["n_turns"] == 5
     assert got[3, "unknown"]["chat"] == "<|im_start|>assistant\n<|im_end|>\n"
     assert chat.rotate(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(9, 0, "ann", "long " * 300_000), (9, 1, "bob", "é" * 100_000)], "conv_id bigint, turn bigint, role string, text string")
+    whole = {r["perspective"]: r for r in chat.rotate(long).collect()}
+    assert len(whole["ann"]["chat"]) > 1_600_000 and whole["ann"]["n_trained"] == 1_500_010 and whole["bob"]["n_trained"] == 100_010
 
 
 # 8: rANS
@@ -739,7 +742,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, str(tmp_path)).drop("bin").collect())) == sorted(map(str, packed.drop("bin").collect()))
 
 
-@pytest.mark.parametrize("name", ["op1_embedding_pairs", "op2_code_length", "op3_packing", "op4_topk", "op5_simhash_groups", "op6_language", "op7_perspectives", "op8_rans_shards", "op9_mixture", "op10_secrets"])
+@pytest.mark.parametrize("name", ["op1_embedding_pairs", "op2_code_length", "op3_packing", "op4_topk", "op5_simhash_groups", "op6_language", "op7_perspectives", "op8_rans_shards", "op9_mixture", "op10_secrets", "embedding_copies"])
 def test_query(spark, name):
     from gleanery.llm.queries import QUERIES
 
