@@ -9,7 +9,9 @@ from gleanery.__main__ import main, robot
 from gleanery.plans.blueprint import Blueprint, Field, Http, InfiniteScroll
 from gleanery.sinks.emit import Webhook, batches, emit, upsert_statements
 from gleanery.sources.fetch import BotBlocked, climb, fetch, fetch_through
+from gleanery.plans.infer import best_response, propose
 from gleanery.sources.pages import scroll_requests
+from gleanery.sources.transports import Browser, ScrapingApi, Solver, captured
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +82,74 @@ def test_scroll_requests_carry_the_token(spark):
     assert scroll_requests(spark, bp, pages.limit(0), 1)[0]["body"] == "page=20" and scroll_requests(spark, Blueprint(), pages, 3) == []
 
 
+@pytest.fixture(scope="module")
+def services():
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, value):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(value if isinstance(value, bytes) else json.dumps(value).encode())
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            asked.append((self.path, body))
+            if self.path.startswith("/content"):
+                return self.answer(b"<p>rendered</p>")
+            if self.path.startswith("/function"):
+                bad = "refused.test" in body
+                return self.answer([1] if bad else {"html": "<p>r</p>", "responses": [{"url": "https://a.test/api", "method": "GET", "body": '[{"a": 1, "b": 2}]'}]})
+            ok = "hard.test" not in body
+            return self.answer({"status": "ok", "solution": {"status": 200, "response": "<p>solved</p>"}} if ok else {"status": "error", "message": "too hard"})
+
+        def do_GET(self):
+            asked.append((self.path, ""))
+            self.answer(b"<p>api</p>")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_service_transports(services):
+    base, asked = services
+    http = Http(cookies={"a": "1"}, headers={"X": "y", "User-Agent": "me"})
+    browser, solver, api = Browser(base, "t&k", ".card"), Solver(base + "/", proxy="http://p"), ScrapingApi(base + "/get", "key", extra={"render": "true"})
+    assert browser("GET", "https://a.test/", {"Z": "1"}, None, http) == (200, "<p>rendered</p>")
+    path, body = asked[-1]
+    sent = json.loads(body)
+    assert path == "/content?token=t%26k" and sent["waitFor"] == ".card" and sent["gotoOptions"]["waitUntil"] == "networkidle2" and sent["userAgent"] == "me"
+    assert sent["setExtraHTTPHeaders"] == {"X": "y", "Z": "1"} and sent["cookies"] == [{"name": "a", "value": "1", "url": "https://a.test/"}]
+    Browser(base, wait_for="networkidle")("GET", "https://a.test/", {}, None, Http())
+    assert json.loads(asked[-1][1])["gotoOptions"]["waitUntil"] == "networkidle0" and "waitFor" not in json.loads(asked[-1][1])
+    assert solver("POST", "https://a.test/", {}, "q=1", http) == (200, "<p>solved</p>")
+    assert json.loads(asked[-1][1]) == {"cmd": "request.post", "url": "https://a.test/", "maxTimeout": 60000, "postData": "q=1", "cookies": [{"name": "a", "value": "1"}], "proxy": {"url": "http://p"}}
+    with pytest.raises(RuntimeError, match="too hard"):
+        solver("GET", "https://hard.test/", {}, None, http)
+    assert api("GET", "https://a.test/?x=1", {}, None, http) == (200, "<p>api</p>") and asked[-1][0] == "/get?render=true&api_key=key&url=https%3A%2F%2Fa.test%2F%3Fx%3D1"
+    for bad in (lambda: api("POST", "u", {}, "", http), lambda: ScrapingApi(base, "")("GET", "u", {}, None, http), lambda: browser("POST", "u", {}, "", http)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_captures(spark, services):
+    browser = Browser(services[0])
+    pages = spark.createDataFrame([("https://a.test/",), ("https://refused.test/",), ("ftp://x",), (None,)], "url string")
+    got = {r["page_url"]: r for r in captured(pages, browser).collect()}
+    assert (got["https://a.test/"]["url"], got["https://a.test/"]["html"], got["https://a.test/"]["error"]) == ("https://a.test/api", "<p>r</p>", None)
+    assert got["https://refused.test/"]["url"] is None and got["https://refused.test/"]["html"] == "" and "scheme" in got["ftp://x"]["error"] and got[None]["error"]
+    assert best_response(captured(pages, browser).select("url", "method", "body")).first()["url"] == "https://a.test/api"
+    bp = propose("https://a.test/", "<body><div id='app'></div></body>", [{"url": "https://a.test/api", "method": "GET", "body": json.dumps([{"id": i, "name": "n"} for i in range(9)])}])
+    assert bp.mode == "api" and bp.api.endpoint == "https://a.test/api"
+    rendered = fetch(pages.where("url = 'https://a.test/'"), Http(timeout=5), transports={"browser": browser}).first()
+    assert (rendered["status"], rendered["html"]) == (200, "<p>rendered</p>")
+
+
 def test_ladder():
     tried = []
 
