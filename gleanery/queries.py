@@ -824,4 +824,4 @@ def page_endpoints(spark, sf_dir):
     n = F.col("page_id").cast("string")
     script = F.concat(F.lit("<script>fetch('/x/"), n, F.lit("');a('/api/v1/list/all');a('/rest/items/"), n, F.lit("');a('/api/list/x.css')</script>"))
     p = _t(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", script).alias("html"))
-    return infer.discovered_endpoints(p).join(p.select("page_id", F.col("url").alias("page_url")), "page_url").select("page_id", "rank", "endpoint")
+    return infer.discovered_endpoints(p, by="page_id").select("page_id", "rank", "endpoint")

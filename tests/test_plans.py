@@ -457,3 +457,17 @@ def test_resume(spark, tmp_path):
     state = f"file://{tmp_path}/keys"
     assert incremental.resume(spark, BP, pages(spark), state).count() == 3
     assert incremental.resume(spark, BP, pages(spark), state).count() == 0
+
+
+def test_endpoints_of_pages_of_one_address(spark, tmp_path):
+    """Pages of one address keep to the endpoints that they name themselves; captured ones go to all of them."""
+    pages = spark.createDataFrame([(1, "https://a/", "<p>"), (2, "https://a/", "<p>"), (3, "https://b/", "<p>")], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    from gleanery.queries import QUERIES
+
+    got = sorted(map(tuple, QUERIES["page_endpoints"](spark, str(tmp_path)).collect()))
+    hosts = {1: "a", 2: "a", 3: "b"}
+    assert got == [(i, k, f"https://{h}{u}") for i, h in hosts.items() for k, u in enumerate(("/api/v1/list/all", f"/rest/items/{i}", f"/x/{i}"), 1)]
+    captured = spark.createDataFrame([("https://a/", "https://a/api/list", "GET", '[{"a": 1}, {"a": 2}]')], "page_url string, url string, method string, body string")
+    found = infer.discovered_endpoints(pages, captured, "page_id")
+    assert sorted(map(tuple, found.collect())) == [(i, "https://a/", "https://a/api/list", 1) for i in (1, 2)]
