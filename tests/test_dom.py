@@ -128,3 +128,27 @@ def test_real_list():
     links = "".join(f"<li class=m><a href='/{i}'>{i}</a>" for i in range(5))
     few, many = f"<ul>{links}</ul>", f"<ul>{links}</ul>" + "<script></script>" * 3
     assert infer.real_list(parse(few), "li.m", few) and not infer.real_list(parse(many), "li.m", many)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("a&&amp", "a&&amp"), ("x &amp;&copy; &ltd &copy2", "x &© &ltd &copy2"), ("&notit; &nosuch; &#65;&#66 &", "&notit; &nosuch; AB &"), ("&\ufdd0amp; &amp", "&\ufdd0amp; &amp"),
+    ("<b>&amp</b>;", "&amp;"), ("AT&T &quo", "AT&T &quo"),
+])
+def test_names_without_semicolon(html, want):
+    """A named character reference ends in a semicolon; what doesn't is text."""
+    assert parse(f"<p>{html}</p>").find("p")[0].text() == want
+
+
+def test_names_in_attributes_and_scripts():
+    root = parse("<a href='/?a=1&copy=2&amp;b=3' &x>l</a><script>a&amp;&lt</script><i&j>k</i&j>m")
+    assert root.find("a")[0].attrs == {"href": "/?a=1&copy=2&b=3", "&x": ""}
+    assert root.find("script")[0].content() == "a&amp;&lt" and root.find("i&j")[0].text() == "k"
+
+
+@pytest.mark.parametrize("name, row", [("page_single", ("T&&am&amp", 2))])
+def test_titles_cut_within_a_reference(spark, tmp_path, name, row):
+    from gleanery.queries import QUERIES
+
+    html = "<html><head><title>T&amp;&am&amp</title></head><body><article><h1>A&amp;&amp</h1><ul><li>1<li>2</ul></article></body></html>"
+    spark.createDataFrame([(1, "https://a/", html)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()] == [row]
