@@ -145,7 +145,7 @@ def test_names_in_attributes_and_scripts():
     assert root.find("script")[0].content() == "a&amp;&lt" and root.find("i&j")[0].text() == "k"
 
 
-@pytest.mark.parametrize("name, row", [("page_titles", ("A&&amp",)), ("page_single", ("T&&am&amp", 2))])
+@pytest.mark.parametrize("name, row", [("page_titles", ("A&&amp",)), ("page_single", ("T&&am&amp", 2)), ("page_xpath_regex", ("T&&am&amp", None))])
 def test_titles_cut_within_a_reference(spark, tmp_path, name, row):
     from gleanery.queries import QUERIES
 
