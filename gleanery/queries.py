@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.batches import spread
 from gleanery.columns import ITEM, PAGE_URL
 from gleanery.dom.extract import label_values, markdown, select_all
 from gleanery.functions import coerce, heuristics, jsonpath, text, urls
@@ -653,7 +654,7 @@ def part_markdown(spark, sf_dir):
         F.lit("<nav>menu</nav><h2> "), F.col("p_name"), F.lit("</h2><p>by <b>"), F.col("p_brand"), F.lit("</b>, <a href='/p/"), F.col("p_partkey").cast("string"), F.lit("'>more</a></p><ul><li>"),
         F.col("p_type"), F.lit("<li>"), F.col("p_size").cast("string"), F.lit("</ul><script>x</script>"),
     )
-    return _t(spark, sf_dir, "part").select("p_partkey", F.btrim(markdown()(F.lit("https://a.example.com/x"), html), F.lit("\n ")).alias("md"))
+    return spread(_t(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.btrim(markdown()(F.lit("https://a.example.com/x"), html), F.lit("\n ")).alias("md"))
 
 
 @_query("SELECT event_id AS id FROM events WHERE event_id < (SELECT ceil(count(*) / 2 / 100.0) * 100 FROM events)")
