@@ -671,7 +671,7 @@ def api_total(spark, sf_dir):
 def custom_steps(spark, sf_dir):
     """A pipeline of named steps, two of them the caller's own."""
     html = F.concat(F.lit("<i> "), F.col("p_partkey").cast("string"), F.lit(" </i><b>"), F.col("p_name"), F.lit("</b><u>"), F.col("p_size").cast("string"), F.lit(" cm</u>"))
-    pages = _t(spark, sf_dir, "part").select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    pages = spread(_t(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
     registry = {"loud": lambda df: df.withColumn("name", F.upper("name")), "double": lambda df: df.withColumn("size", F.col("size") * 2)}
     df = run.all_pages(Blueprint(fields=(Field("key", "i"), Field("name", "b"), Field("size", "u")), item_schema={"size": "int"}, pipeline=("trim", "nothing")), pages)
     return pipeline.apply(df, pipeline.build(("loud", "double"), {}, registry=registry)).select("key", "name", "size")
@@ -699,7 +699,7 @@ def spread_positions(spark, sf_dir):
     def places(n: pd.Series) -> pd.Series:
         return n.map(lambda k: infer.spread(int(k), 15))
 
-    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(places("p_size")).alias("place"))
+    return spread(_t(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.explode(places("p_size")).alias("place"))
 
 
 @_query("""
@@ -797,7 +797,7 @@ def field_finders(spark, sf_dir):
             rows.append([got.get(n) for n in ("price", "rating", "address", "weight")])
         return pd.DataFrame(rows, columns=["price", "rating", "address", "weight"])
 
-    return _t(spark, sf_dir, "part").select("p_partkey", found(html).alias("f")).select("p_partkey", "f.price", "f.rating", "f.address", "f.weight")
+    return spread(_t(spark, sf_dir, "part"), "p_partkey").select("p_partkey", found(html).alias("f")).select("p_partkey", "f.price", "f.rating", "f.address", "f.weight")
 
 
 @_query("""

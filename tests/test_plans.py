@@ -473,7 +473,7 @@ def test_endpoints_of_pages_of_one_address(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(i, "https://a/", "https://a/api/list", 1) for i in (1, 2)]
 
 
-@pytest.mark.parametrize("name", ["part_markdown"])
+@pytest.mark.parametrize("name", ["part_markdown", "field_finders", "spread_positions", "custom_steps"])
 def test_short_rows_are_worked_on_by_all_cores(spark, tmp_path, name):
     """A small file is one task to read; what Python does with its rows is shared out."""
     from gleanery.queries import QUERIES
@@ -481,4 +481,5 @@ def test_short_rows_are_worked_on_by_all_cores(spark, tmp_path, name):
     rows = spark.range(4000, numPartitions=1).selectExpr("id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type", "CAST(id % 50 AS int) AS p_size")
     rows.write.parquet(str(tmp_path / "part.parquet"))
     got = QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
-    assert len(got) >= 4 and sum(r["count"] for r in got) >= 4000 and max(r["count"] for r in got) < 2000
+    whole = sum(r["count"] for r in got)
+    assert len(got) >= 4 and whole >= 4000 and max(r["count"] for r in got) < whole / 2
