@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.batches import tidied  # noqa: F401 - the operators take it from here
 from gleanery.scratch import drop_shared, write_shared
 
 CHUNK_BYTES = 1 << 19
 
 
-#: bytes of a batch between Spark and Python, whatever the length of its texts
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def tidied(run, small: bool = True):
-    """``run`` for ``mapInArrow``, giving freed memory back at its end: idle workers stay, and what they hold counts.
-
-    ``small`` has the session cut batches at ``BATCH_BYTES`` (a longer row is a batch of its own) unless it cuts them
-    smaller: 10,000 long texts would otherwise be held several times over by each side.
-    """
-    spark = SparkSession.getActiveSession()
-    if small and spark is not None:
-        now = str(spark.conf.get(_BATCH, None) or "")
-        if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-            spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-    def whole(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
-
-    return whole
-
-
 def lengths(col: pa.Array) -> np.ndarray:
     """Byte length of every value, 0 for null."""
     return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.batches import spread
+from gleanery.batches import give_back, small_batches, spread, swept
 from gleanery.columns import ITEM, PAGE_URL
 from gleanery.dom.extract import label_values, markdown, select_all
 from gleanery.functions import coerce, heuristics, jsonpath, text, urls
@@ -761,14 +763,20 @@ def list_detection(spark, sf_dir):
     more = F.element_at(F.array(*map(F.lit, ("<a rel=next href=/2>n</a>", "<ul class=pagination><li><a href=/2>2</a></ul>", "<button class=load-more>m</button>", ""))), (F.col("c_nationkey") % 4 + 1).cast("int"))
     pages = c.groupBy("c_nationkey").agg(F.array_join(F.collect_list(card), "").alias("cards")).select("c_nationkey", F.concat(F.lit("<body><main>"), "cards", F.lit("</main>"), more).alias("html"))
 
+    def detected(html: str) -> tuple:
+        root = parse(html)
+        got = infer.find_list(root)
+        return got and got[0], got and ",".join(sorted(f.name for f in infer.fields(got[1]))), infer.find_pagination(root).strategy
+
+    small_batches()
+
     @F.pandas_udf("struct<selector:string,fields:string,paging:string>")
-    def found(html: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h in html:
-            root = parse(h)
-            got = infer.find_list(root)
-            rows.append((got and got[0], got and ",".join(sorted(f.name for f in infer.fields(got[1]))), infer.find_pagination(root).strategy))
-        return pd.DataFrame(rows, columns=["selector", "fields", "paging"])
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for html in batches:
+                yield pd.DataFrame([detected(h) for h in swept(html)], columns=["selector", "fields", "paging"])
+        finally:
+            give_back()
 
     return pages.select("c_nationkey", found("html").alias("f")).select("c_nationkey", "f.selector", "f.fields", "f.paging")
 

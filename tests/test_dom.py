@@ -152,3 +152,40 @@ def test_titles_cut_within_a_reference(spark, tmp_path, name, row):
     html = "<html><head><title>T&amp;&am&amp</title></head><body><article><h1>A&amp;&amp</h1><ul><li>1<li>2</ul></article></body></html>"
     spark.createDataFrame([(1, "https://a/", html)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert [tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()] == [row]
+
+
+def cards(n):
+    return "<main>" + "".join(f"<div class=card><h3><a href='/product-{i}'>Customer#{i:09d}</a></h3></div>" for i in range(n)) + "</main>"
+
+
+def test_trees_of_long_lists_are_small():
+    """Under 850 bytes an item of three elements; equal attributes are held once."""
+    import tracemalloc
+
+    html = cards(20000)
+    tracemalloc.start()
+    root = parse(html)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / 20000 < 850
+    one, other = root.find("main")[0].children[:2]
+    assert one.attrs is other.attrs == {"class": "card"} and one.html() == "<div class=\"card\"><h3><a href=\"/product-0\">Customer#000000000</a></h3></div>"
+
+
+def test_trees_go_with_their_texts(monkeypatch):
+    import gc
+
+    from gleanery import batches
+    from gleanery.dom.tree import Node
+
+    html = cards(1000)
+    monkeypatch.setattr(batches, "SWEEP", len(html))
+    before, most = sum(isinstance(o, Node) for o in gc.get_objects()), 0
+    gc.disable()
+    try:
+        for text in batches.swept([html] * 5):
+            most = max(most, sum(isinstance(o, Node) for o in gc.get_objects()) - before)
+            parse(text)
+    finally:
+        gc.enable()
+    assert most < 100
