@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gleanery.batches import give_back, small_batches, swept, tidied
 from gleanery.columns import HTML, ITEM, PAGE_URL
 from gleanery.dom import css, xpath
 from gleanery.dom.labels import label_map, normal
@@ -94,33 +95,41 @@ def extract(pages: DataFrame, fields: tuple[Field, ...], selector: str | None, k
     schema = T.StructType([*df.drop(HTML).schema.fields, T.StructField(ITEM, T.LongType()), *kinds])
     out = to_arrow_schema(schema)
 
+    def records(text: str | None, page: str | None) -> list[list]:
+        if text is None:
+            return []
+        root = parse(text)
+        return [record(node, fields, page) for node in ([root] if selector is None else items(root, selector))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places, values = [], [], [[] for _ in fields]
-            urls, texts = batch.column(PAGE_URL).to_pylist(), batch.column(HTML)
-            for i, page in enumerate(urls):
-                text = texts[i].as_py()
-                if text is None:
-                    continue
-                root = parse(text)
-                for at, node in enumerate([root] if selector is None else items(root, selector)):
+            texts = batch.column(HTML)
+            for i, (page, text) in enumerate(zip(batch.column(PAGE_URL).to_pylist(), swept(t.as_py() for t in texts))):
+                for at, row in enumerate(records(text, page)):
                     rows.append(i)
                     places.append(at)
-                    for column, v in zip(values, record(node, fields, page)):
+                    for column, v in zip(values, row):
                         column.append(v)
             kept = batch.drop_columns([HTML]).take(pa.array(rows, pa.int64()))
             columns = [pa.array(v, out.field(f.name).type) for v, f in zip(values, fields)]
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.int64()), *columns], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def _texts(function: Callable[[str | None, str], list[str] | str | None], kind: str):
     """A function of (url, html) as an Arrow-batched column function."""
 
+    small_batches()
+
     @pandas_udf(kind)
-    def run(url: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else function(u, h) for u, h in zip(url, html)], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            for url, html in batches:
+                yield pd.Series([None if h is None else function(u, h) for u, h in zip(url, swept(html))], dtype=object)
+        finally:
+            give_back()
 
     return run
 

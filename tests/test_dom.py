@@ -189,3 +189,22 @@ def test_trees_go_with_their_texts(monkeypatch):
     finally:
         gc.enable()
     assert most < 100
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """What is called on pages has the session cut batches by bytes; a smaller setting stays."""
+    from gleanery import batches
+    from gleanery.dom import extract
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    try:
+        for given, want in (("67108864", batches.BATCH_BYTES), ("1000", 1000)):
+            spark.conf.set(name, given)
+            extract.markdown()
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+    pages = spark.createDataFrame([("https://a/", f"<p>{i}</p>" if i % 3 else None) for i in range(30)], "url string, html string").coalesce(1)
+    assert [r[0] for r in pages.select(extract.markdown()("url", "html")).collect()] == [str(i) if i % 3 else None for i in range(30)]
+
