@@ -154,7 +154,7 @@ def test_titles_cut_within_a_reference(spark, tmp_path, name, row):
     assert [tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()] == [row]
 
 
-def cards(n):
+def long_list(n):
     return "<main>" + "".join(f"<div class=card><h3><a href='/product-{i}'>Customer#{i:09d}</a></h3></div>" for i in range(n)) + "</main>"
 
 
@@ -162,7 +162,7 @@ def test_trees_of_long_lists_are_small():
     """Under 850 bytes an item of three elements; equal attributes are held once."""
     import tracemalloc
 
-    html = cards(20000)
+    html = long_list(20000)
     tracemalloc.start()
     root = parse(html)
     held = tracemalloc.get_traced_memory()[0]
@@ -178,7 +178,7 @@ def test_trees_go_with_their_texts(monkeypatch):
     from gleanery import batches
     from gleanery.dom.tree import Node
 
-    html = cards(1000)
+    html = long_list(1000)
     monkeypatch.setattr(batches, "SWEEP", len(html))
     before, most = sum(isinstance(o, Node) for o in gc.get_objects()), 0
     gc.disable()
